@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import common, decontam, html, jaccard, packing, quality, tokenfiles, toxicity, urls
+from quillon.llm import common, decontam, html, jaccard, packing, quality, sufdedup, tokenfiles, toxicity, urls
 
 WORD_BPE = "word_bpe_49k.json"
 #: The end-of-text token of that tokenizer; no text gets it.
@@ -39,6 +39,10 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit(common.table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE), end_id=0, capacity=2048)
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sufdedup.report(common.table(spark, sf_dir, "documents"))
+
+
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = spark.createDataFrame([(f"{name}.{zone}/",) for name in LISTED_NAMES for zone in LISTED_ZONES], "entry string")
     return urls.judge(common.table(spark, sf_dir, "pages"), listed, RULES)
@@ -63,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_html_extraction": op3_html_extraction,
     "op4_decontamination": op4_decontamination,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_url_filters": op7_url_filters,
     "op8_token_files": op8_token_files,
     "op9_quality_rules": op9_quality_rules,
