@@ -2,17 +2,60 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def views(spark: SparkSession, sf_dir: str, text: str) -> None:
+    """Temporary views of the tables that a statement names."""
+    for name in TABLES:
+        if re.search(rf"\b{name}\b", text):
+            table(spark, sf_dir, name).createOrReplaceTempView(name)
+
+
+def sql(name: str, text: str, oracle: str | None = None, same: bool = True) -> None:
+    """Register a query in Spark SQL; its oracle is the same text unless given (or none)."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        views(spark, sf_dir, text)
+        return spark.sql(text)
+
+    _QUERIES[name] = run
+    if oracle or same:
+        _SQL[name] = oracle or text
+
+
+def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _QUERIES[name] = f
+        if oracle:
+            _SQL[name] = oracle
+        return f
+
+    return add
+
+
+def _load() -> None:
+    from quillon.plans import kinds  # noqa: F401  registers all
+
+
+def queries() -> dict[str, Query]:
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_SQL)
