@@ -1 +1,102 @@
-"""To be filled."""
+"""Full-text and vector search, aggregations of search, ingest processors."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from quillon.operators import search, vectors
+from quillon.plans.registry import query, sql, table
+
+_TOKENS = "(SELECT doc_id, unnest(list_filter(string_split_regex(lower(text), '[^a-z0-9À-ɏ]+'), lambda x: x <> '')) AS t FROM documents)"
+_BM25 = """
+    WITH tok AS {tok}, tf AS (SELECT doc_id, t, count(*) AS tf FROM tok GROUP BY 1, 2), len AS (SELECT doc_id, count(*) AS dl FROM tok GROUP BY 1),
+    st AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM len), df AS (SELECT t, count(*) AS df FROM tf GROUP BY 1)
+    SELECT tf.doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf.tf * 2.2 / (tf.tf + 1.2 * (1 - 0.75 + 0.75 * dl / avgdl))), 6) AS score
+    FROM tf JOIN len USING (doc_id) JOIN df USING (t) CROSS JOIN st WHERE t IN ({terms}) GROUP BY tf.doc_id"""
+
+
+def bm25_sql(terms: tuple[str, ...]) -> str:
+    return _BM25.format(tok=_TOKENS, terms=", ".join(f"'{t}'" for t in terms))
+
+
+def docs(spark, sf_dir):
+    return search.tokens(table(spark, sf_dir, "documents"), "text")
+
+
+@query("search_bm25", bm25_sql(("idiot", "password", "rights")))
+def bm25(spark, sf_dir):
+    return search.bm25(docs(spark, sf_dir), "doc_id", ["idiot", "password", "rights"])
+
+
+@query("search_bool", f"WITH tok AS {_TOKENS} SELECT doc_id FROM tok GROUP BY doc_id HAVING bool_or(t = 'the') AND bool_or(t = 'of') AND NOT bool_or(t = 'idiot')")
+def bool_(spark, sf_dir):
+    return docs(spark, sf_dir).where(search.has("the") & search.has("of") & ~search.has("idiot")).select("doc_id")
+
+
+@query("search_phrase", """SELECT doc_id FROM documents WHERE regexp_matches(' ' || array_to_string(list_filter(string_split_regex(lower(text), '[^a-z0-9À-ɏ]+'), lambda x: x <> ''), ' ') || ' ', ' all rights reserved ')""")
+def phrase(spark, sf_dir):
+    return docs(spark, sf_dir).where(search.phrase(["all", "rights", "reserved"])).select("doc_id")
+
+
+@query("search_fuzzy", f"WITH tok AS (SELECT item_id, unnest(list_filter(string_split_regex(lower(text), '[^a-z0-9À-ɏ]+'), lambda x: x <> '')) AS t FROM benchmark) SELECT DISTINCT item_id, t FROM tok WHERE levenshtein(t, 'therble') <= 2")
+def fuzzy(spark, sf_dir):
+    t = search.tokens(table(spark, sf_dir, "benchmark"), "text").select("item_id", F.explode("tokens").alias("t")).distinct()
+    return t.where(F.levenshtein("t", F.lit("therble"), 2).between(0, 2))
+
+
+@query("search_prefix_wildcard", f"WITH tok AS {_TOKENS} SELECT t, count(DISTINCT doc_id) AS n FROM tok WHERE t LIKE 'pass%' OR t LIKE 'w_rthless' GROUP BY t")
+def prefix(spark, sf_dir):
+    t = docs(spark, sf_dir).select("doc_id", F.explode(F.array_distinct("tokens")).alias("t"))
+    return t.where(F.col("t").startswith("pass") | F.col("t").like("w_rthless")).groupBy("t").agg(F.count("*").alias("n"))
+
+
+@query("search_significant_terms", f"""
+    WITH tok AS {_TOKENS}, d AS (SELECT DISTINCT tok.doc_id, t, toxic FROM tok JOIN labels USING (doc_id)), n AS (SELECT toxic, count(*) AS n FROM labels WHERE doc_id IN (SELECT doc_id FROM documents) GROUP BY toxic),
+    c AS (SELECT t, count(*) FILTER (WHERE toxic = 1) AS fg, count(*) AS bg FROM d GROUP BY t)
+    SELECT t, fg, bg FROM c WHERE fg >= 5 AND cast(fg as double) / (SELECT n FROM n WHERE toxic = 1) > 4.0 * bg / (SELECT sum(n) FROM n)""")
+def significant(spark, sf_dir):
+    labels = table(spark, sf_dir, "labels")
+    d = docs(spark, sf_dir).join(labels, "doc_id").select("toxic", F.explode(F.array_distinct("tokens")).alias("t"))
+    n = table(spark, sf_dir, "documents").select("doc_id").join(labels, "doc_id").agg(F.count_if(F.col("toxic") == 1).alias("n1"), F.count("*").alias("n"))
+    c = d.groupBy("t").agg(F.count_if(F.col("toxic") == 1).alias("fg"), F.count("*").alias("bg")).where("fg >= 5")
+    return c.crossJoin(F.broadcast(n)).where("fg / n1 > 4.0 * bg / n").select("t", "fg", "bg")
+
+
+sql("search_terms_agg", "SELECT lang, count(*) AS doc_count, min(n_chars) AS mn, max(n_chars) AS mx, round(avg(n_chars), 6) AS av FROM documents GROUP BY lang")
+sql("search_date_histogram", "SELECT date_trunc('week', ts) AS k, count(*) AS doc_count, cast(sum(cast(value as decimal(18,6))) as double) AS total FROM events GROUP BY 1")
+sql("search_histogram_ranges", "SELECT cast(floor(value / 10) * 10 as bigint) AS k, CASE WHEN value < 20 THEN 'low' WHEN value < 60 THEN 'mid' ELSE 'high' END AS r, count(*) AS n FROM events GROUP BY 1, 2")
+sql("search_top_hits", "SELECT lang, doc_id FROM (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS rn FROM documents) x WHERE rn <= 3")
+sql("search_collapse", "SELECT source, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS rn FROM documents) x WHERE rn = 1")
+sql("search_after", "SELECT doc_id, n_chars FROM documents WHERE n_chars < 2000 OR (n_chars = 2000 AND doc_id > 10) ORDER BY n_chars DESC, doc_id LIMIT 15")
+sql("search_composite_agg", "SELECT lang, source, count(*) AS n FROM documents WHERE lang > 'en' GROUP BY lang, source ORDER BY lang, source LIMIT 40")
+sql("search_cardinality_percentiles", "SELECT event_type, count(DISTINCT user_id) AS card, percentile_cont(0.25) WITHIN GROUP (ORDER BY value) AS p25, percentile_cont(0.99) WITHIN GROUP (ORDER BY value) AS p99 FROM events GROUP BY event_type")
+sql("search_missing_exists", "SELECT count(*) AS n, count(toxic) AS with_label, count(*) - count(toxic) AS missing FROM documents LEFT JOIN labels USING (doc_id)")
+_COS = "list_cosine_similarity(e.embedding, q.embedding)"
+
+
+@query("knn_cosine", "SELECT e.vec_id, round((1 + list_cosine_similarity(cast(e.embedding as double[]), cast(q.embedding as double[]))) / 2, 6) AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q ORDER BY score DESC, vec_id LIMIT 10")
+def knn_cosine(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    return vectors.knn(e, e.where("vec_id = 0").first()["embedding"], "cosine", 10)
+
+
+@query("knn_l2", "SELECT e.vec_id, round(1 / (1 + pow(list_distance(cast(e.embedding as double[]), cast(q.embedding as double[])), 2)), 6) AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q ORDER BY score DESC, vec_id LIMIT 10")
+def knn_l2(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    return vectors.knn(e, e.where("vec_id = 0").first()["embedding"], "l2", 10)
+
+
+@query("rrf_fusion", f"""
+    WITH a AS (SELECT doc_id AS id, row_number() OVER (ORDER BY score DESC, doc_id) AS r FROM ({bm25_sql(('idiot', 'password'))})),
+         b AS (SELECT doc_id AS id, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS r FROM documents)
+    SELECT id, round(sum(1.0 / (60 + r)), 9) AS score FROM (SELECT * FROM a WHERE r <= 20 UNION ALL SELECT * FROM b WHERE r <= 20) GROUP BY id""")
+def rrf(spark, sf_dir):
+    a = search.bm25(docs(spark, sf_dir), "doc_id", ["idiot", "password"]).select(F.col("doc_id").alias("id"), "score")
+    b = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("n_chars").alias("score"))
+    return vectors.rrf([a, b], window=20, k=60)
+
+
+sql("ingest_url_parts", "SELECT page_id, regexp_extract(url, '^(https?)://', 1) AS scheme, regexp_extract(url, '://([^/:?#]+)', 1) AS domain, regexp_extract(url, '[?]([^#]*)', 1) AS query FROM pages")
+sql("ingest_html_strip", "SELECT page_id, cast(length(regexp_replace(html, '<[^>]*>', '')) as bigint) AS n FROM pages", "SELECT page_id, length(regexp_replace(html, '<[^>]*>', '', 'g')) AS n FROM pages")
+sql("ingest_gsub_split_set", "SELECT event_id, upper(event_type) AS kind, regexp_replace(props, '[{}\"]', '') AS flat, 'v1' AS version FROM events", "SELECT event_id, upper(event_type) AS kind, regexp_replace(props, '[{}\"]', '', 'g') AS flat, 'v1' AS version FROM events")
+sql("ingest_kv", "SELECT event_id, element_at(str_to_map(regexp_replace(props, '[{}\" ]', ''), ',', ':'), 'k') AS k FROM events", "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
