@@ -3,7 +3,7 @@
 Features are the 3- to 5-grams of the lower-cased text's characters (with a blank at both ends), each
 present or not, hashed to 2**BITS buckets. For each bucket the log ratio of the shares of toxic and
 other training texts that hold it scales the feature; a logistic regression with an L2 penalty learns
-the rest. The KEEP_FEATURES buckets whose ratio stands out most for their number are used.
+the rest. Used are at most KEEP_FEATURES buckets, those whose shares differ most in standard errors.
 
 Only labels.toxic is learnt from, on at most MAX_TRAIN labelled rows (drawn by a hash of doc_id), and
 only rows that `train_on` lets through. A null text is empty and gets a score too. Labels that are null
@@ -27,6 +27,7 @@ BITS = 20
 MAX_TRAIN = 8_000
 KEEP_FEATURES = 30_000
 LEAST_DOCS = 5
+LEAST_ERRORS = 4.0
 ROUNDS = 100
 PENALTY = 1.0
 
@@ -69,7 +70,11 @@ def fit(rows, least: int = LEAST_DOCS) -> Model:
         return nothing
     ratio = np.log((held[1] + 1) / (n[1] + 2)) - np.log((held[0] + 1) / (n[0] + 2))
     docs = held.sum(axis=0)
-    stands_out = np.where(docs >= least, np.abs(ratio) * np.sqrt(docs), 0)
+    # how far the shares differ, in standard errors of their difference: chance does not pass for a sign
+    share = docs / n.sum()
+    error = np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / n[0] + 1 / n[1]))
+    stands_out = np.where(docs >= least, np.abs(held[1] / n[1] - held[0] / n[0]) / error, 0)
+    stands_out[stands_out < LEAST_ERRORS] = 0
     used = np.argsort(-stands_out, kind="stable")[:KEEP_FEATURES]
     used = used[stands_out[used] > 0]
     if not len(used):
