@@ -13,6 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 #: A word: a run without the six ASCII white-space characters. bytes.split() cuts at exactly these.
 ASCII_SPACE = b"\x20\x09\x0a\x0b\x0c\x0d"
 
+#: Spark's setting for deleting an execution's shuffle files when it ends, and not when the driver's JVM collects garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -39,7 +42,12 @@ def stored(df: DataFrame, at: str | None = None) -> DataFrame:
     """
     spark = df.sparkSession
     at = at or shared_dir(spark)
-    df.write.mode("overwrite").parquet(at)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")  # the shuffle files of this write go with its end
+    try:
+        df.select("*").write.mode("overwrite").parquet(at)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(at)
 
 

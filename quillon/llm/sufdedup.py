@@ -25,7 +25,6 @@ the largest. Empty tables give no rows; further columns stay with their rows.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import uuid
 from collections.abc import Iterator
@@ -306,7 +305,6 @@ def _solved(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     chunks = stage(docs, common.shared_dir(spark))
     met = _meet(chunks, 4 * common.shuffle_parts(spark))
-    _release(spark)
     rows = _contexts(chunks, met)
     large = rows.groupBy("key").count().where(F.col("count") > GROUP).select("key")
     masks = common.stored(_by_suffixes(rows.join(large, "key", "left_anti")).union(_by_windows(rows.join(large, "key", "left_semi"))))
@@ -315,12 +313,6 @@ def _solved(docs: DataFrame) -> DataFrame:
     return common.stored(chunks.join(gone, "k", "left").join(each, "k", "left"))
 
 
-def _release(spark) -> None:
-    """Let Spark delete shuffle files that nothing refers to any more."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def _removed(x: dict) -> tuple[Chunk, np.ndarray]:
     chunk = Chunk(x["uri"])
     slots = np.frombuffer(b"".join(x["dropped"] or ()), "<u4")
