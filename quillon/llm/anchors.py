@@ -15,11 +15,26 @@ MATCH = 50
 GRAM = 16
 REACH = MATCH - GRAM + 1  # grams in a window, so windows of a unit at most
 
+#: Bytes of text worked on at once, about: the arrays made on the way are some sixty times as large.
+BLOCK = 1_000_000
 _PLACE = np.uint64((1 << 32) - 1)
 
 
-def units(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For texts data[bounds[i]:bounds[i + 1]] (under 4 GB together): text, first window, last window, gram hash and gram place of each unit."""
+def units(data: np.ndarray, bounds: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For texts data[bounds[i]:bounds[i + 1]]: text, first window, last window, gram hash and gram place of each unit.
+
+    Texts are taken in runs of about block bytes (one text at least, which is under 4 GB).
+    """
+    found, start = [], 0
+    while not found or start < len(bounds) - 1:
+        end = max(start + 1, int(np.searchsorted(bounds, bounds[start] + block, "right")) - 1)
+        row, first, last, gram, place = _units(data[bounds[start] : bounds[min(end, len(bounds) - 1)]], bounds[start : end + 1] - bounds[start])
+        found.append((row + start, first + bounds[start], last + bounds[start], gram, place + bounds[start]))
+        start = end
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def _units(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     none = np.zeros(0, np.int64)
     n = len(data)
     if n < MATCH:
