@@ -17,6 +17,8 @@ ASCII_SPACE = b"\x20\x09\x0a\x0b\x0c\x0d"
 #: Spark's setting for deleting an execution's shuffle files when it ends, and not when the driver's JVM collects garbage.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
+ROWS_SETTING, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1_000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -53,6 +55,11 @@ def stored(df: DataFrame, at: str | None = None) -> DataFrame:
 
 
 def mapped(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
+    """fn over Arrow batches, of BATCH_ROWS rows each unless the session asks for another number than Spark's default."""
+    conf = df.sparkSession.conf
+    if conf.get(ROWS_SETTING) == "10000":  # so many whole texts are tens of MB, held by JVM and worker alike
+        conf.set(ROWS_SETTING, str(BATCH_ROWS))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from fn(batches)
         trim()
