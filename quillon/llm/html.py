@@ -1,10 +1,12 @@
 """Main text of web pages, with the removal of site templates.
 
-A page is parsed into elements (unclosed ones end where HTML lets them end). Elements that are never
-part of an article go by their tag, role or class. What remains of a site's frame is found in the
-corpus: each remaining subtree is hashed with its host, Spark counts in how many different pages of the
-host it stands, and subtrees that recur across many of them are deleted. Inside an <article> or <main>
-only containers can be such templates, never its paragraphs or headings, which may well quote each other.
+A page is parsed into elements (unclosed ones end where HTML lets them end). A site's frame is found in
+the corpus: each subtree of the whole page (navigation, paragraphs, list items and inline elements, too)
+is hashed with its host, Spark counts in how many different pages of the host it stands, and subtrees
+that recur across many of them are deleted. Only then elements that are never part of an article go by
+their tag, role or class. Two things are no templates however often they recur: inline elements within
+running text, and inside an <article> or <main> paragraphs, headings, list items, quotations and table
+cells that hold more than links, for these may well repeat each other.
 
 Text: character references decoded, white space inside a block turned into one space, trimmed, blocks
 joined in page order by a line feed. A null or empty page gives an empty string. Repeated page_ids keep
@@ -35,6 +37,9 @@ BLOCKS = frozenset(
     "html body address article blockquote center dd details div dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 header hgroup hr li main ol p pre section summary table caption thead tbody tfoot tr ul".split()
 )
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Blocks of running text, and elements whose content is not shown.
+PROSE = HEADINGS | frozenset("p li blockquote pre tr td th".split())
+UNSEEN = frozenset("head title script style noscript template".split())
 #: Tags at whose start an open element of the kind ends.
 ENDS_P = BLOCKS | DROPPED - frozenset("button select input textarea svg math iframe object embed canvas audio video map script style noscript template".split())
 ENDS = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "option": ("option", ("select",))}
@@ -118,20 +123,16 @@ def _marked(node: Node) -> bool:
     return not MARKS.isdisjoint(words)
 
 
-def prune(root: Node) -> list[Node]:
-    """Take off what is never main text, in place; return the elements that hold the article, or the whole page.
-
-    An element whose class marks it stays if an article stands in it (a page's outer frame may be named
-    for its sidebar), and so does an article of the page's own.
-    """
-    holds: set[int] = set()
+def _survey(root: Node) -> tuple[list[Node], dict[int, Node], set[int], set[int]]:
+    """All elements (parents first), their parents, those that go by tag or as hidden, and those that are or hold an article."""
     order, parent = list(_elements(root)), {}
     for x in order:
         for c in x.children:
             if isinstance(c, Node):
                 parent[id(c)] = x
     dropped: set[int] = set()
-    for x in order:  # parents come before children
+    holds: set[int] = set()
+    for x in order:
         if x is not root and (id(parent[id(x)]) in dropped or x.tag in DROPPED or "hidden" in x.attrs or x.attrs.get("aria-hidden") == "true"):
             dropped.add(id(x))
         elif _is_root(x) and not _marked(x):
@@ -140,6 +141,16 @@ def prune(root: Node) -> list[Node]:
             while id(y) in parent:
                 y = parent[id(y)]
                 holds.add(id(y))
+    return order, parent, dropped, holds
+
+
+def prune(root: Node) -> list[Node]:
+    """Take off what is never main text, in place; return the elements that hold the article, or the whole page.
+
+    An element whose class marks it stays if an article stands in it (a page's outer frame may be named
+    for its sidebar), and so does an article of the page's own.
+    """
+    order, parent, dropped, holds = _survey(root)
     inside: set[int] = set()
     for x in order:
         up = parent.get(id(x))
@@ -169,8 +180,8 @@ def prune(root: Node) -> list[Node]:
     return tops or [root]
 
 
-def blocks(node: Node, without: frozenset[int] = frozenset(), marks: dict[int, int] | None = None) -> list[str]:
-    """The texts of the blocks below node, but for elements whose mark (by id) is in without."""
+def blocks(node: Node) -> list[str]:
+    """The texts of the blocks below node."""
     out: list[str] = []
     run: list[str] = []
 
@@ -187,7 +198,7 @@ def blocks(node: Node, without: frozenset[int] = frozenset(), marks: dict[int, i
             flush()
         elif isinstance(x, str):
             run.append(x)
-        elif not (without and marks and marks.get(id(x)) in without):
+        else:
             if x.tag in BLOCKS:
                 flush()
                 todo.append(None)
@@ -200,30 +211,59 @@ def blocks(node: Node, without: frozenset[int] = frozenset(), marks: dict[int, i
     return out
 
 
-def subtrees(tops: list[Node], host: str) -> dict[int, int]:
-    """A 64-bit hash of host, tags and text for each element (by id) that may be a template."""
+def subtrees(root: Node, host: str) -> dict[int, int]:
+    """A 64-bit hash of host, tags and text for each element of an unpruned page (by id) that may be a template."""
     found: dict[int, int] = {}
-    for top in tops:
-        article = _is_root(top)
-        digests: dict[int, bytes] = {}
-        for x in reversed(list(_elements(top))):  # children before parents
-            h = hashlib.blake2b(host.encode("utf-8", "surrogatepass") + b"\0" + x.tag.encode("utf-8", "surrogatepass"), digest_size=8)
-            for c in x.children:
-                if isinstance(c, str):
-                    text = " ".join(c.split())
-                    if text:
-                        h.update(b"t" + text.encode("utf-8", "surrogatepass"))
-                else:
-                    h.update(b"e" + digests[id(c)])
-            digests[id(x)] = h.digest()
-            if x is top or x.tag in ("html", "body") or x.tag not in BLOCKS:
-                continue
-            if article and (x.tag == "p" or x.tag in HEADINGS or x.tag in ("li", "blockquote", "pre", "tr", "td", "th")):
-                continue
-            found[id(x)] = int.from_bytes(digests[id(x)], "little", signed=True)
+    order, parent, _, holds = _survey(root)
+    within: set[int] = set()  # in an article
+    fixed: set[int] = set()  # not shown, or in running text
+    for x in order:
+        up = parent.get(id(x))
+        if up is None:
+            continue
+        if id(up) in within or id(up) in holds and _is_root(up):
+            within.add(id(x))
+        if x.tag in UNSEEN or id(up) in fixed and (x.tag not in BLOCKS or up.tag in UNSEEN):
+            fixed.add(id(x))
+        elif x.tag not in BLOCKS and x.tag not in DROPPED and _running(x, up):
+            fixed.add(id(x))
+    start = hashlib.blake2b(host.encode("utf-8", "surrogatepass") + b"\0", digest_size=8)
+    digests: dict[int, bytes] = {}
+    sizes: dict[int, tuple[int, int]] = {}  # characters, and those of links
+    for x in reversed(order):  # children before parents
+        h, n, linked = start.copy(), 0, 0
+        h.update(x.tag.encode("utf-8", "surrogatepass"))
+        for c in x.children:
+            if isinstance(c, str):
+                text = " ".join(c.split())
+                if text:
+                    h.update(b"t" + text.encode("utf-8", "surrogatepass"))
+                    n += len(text)
+            elif c.tag not in UNSEEN:
+                h.update(b"e" + digests[id(c)])
+                n, linked = n + sizes[id(c)][0], linked + sizes[id(c)][1]
+        digests[id(x)] = h.digest()
+        sizes[id(x)] = n, n if x.tag == "a" else linked
+        if not n or x is root or x.tag in ("html", "body") or id(x) in holds or id(x) in fixed:
+            continue
+        if id(x) in within and (x.tag in PROSE or x.tag not in BLOCKS | DROPPED) and sizes[id(x)][1] < n:
+            continue
+        found[id(x)] = int.from_bytes(digests[id(x)], "little", signed=True)
     return found
 
 
+def _running(x: Node, up: Node) -> bool:
+    """Whether an inline element stands in running text: beside text, or beside other elements of a paragraph."""
+    beside = [c for c in up.children if c is not x and (isinstance(c, Node) and c.tag not in UNSEEN or isinstance(c, str) and c.strip())]
+    return any(isinstance(c, str) for c in beside) or up.tag in PROSE and bool(beside)
+
+
+def remove(root: Node, marks: dict[int, int], templates: frozenset[int]) -> None:
+    """Take the elements whose mark is a template's off the page, in place."""
+    for x in list(_elements(root)):
+        x.children = [c for c in x.children if not isinstance(c, Node) or marks.get(id(c)) not in templates]
+
+
 def host_of(url: str | None) -> str:
     m = _HOST.match(url or "")
     return m[1].lower() if m else ""
@@ -239,28 +279,30 @@ def extract(pages: DataFrame) -> DataFrame:
                 host = host_of(url)
                 ids.append(page_id)
                 hosts.append(host)
-                found.append(sorted(set(subtrees(prune(parse(html or "")), host).values())))
+                found.append(sorted(set(subtrees(parse(html or ""), host).values())))
                 seen.append(int.from_bytes(hashlib.blake2b((html or "").encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hosts, pa.string()), pa.array(seen, pa.int64()), pa.array(found, pa.list_(pa.int64()))], ["page_id", "host", "page", "subtrees"])
 
     own = pages.select("page_id", "url", "html")
     marked = common.stored(common.mapped(own, hashed, "page_id long, host string, page long, subtrees array<long>"))
     # how many different pages of its host hold a subtree, against all of the host's different pages
-    distinct = marked.select("host", "page", "subtrees").dropDuplicates(["host", "page"])
-    totals = distinct.groupBy("host").agg(F.count("*").alias("total"))
-    counts = distinct.select("host", F.explode("subtrees").alias("subtree")).groupBy("host", "subtree").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_PAGES)
-    templates = counts.join(totals, "host").where(F.col("n") >= MIN_SHARE * F.col("total")).select("subtree")
-    hits = marked.select("page_id", F.explode("subtrees").alias("subtree")).join(templates, "subtree").groupBy("page_id").agg(F.collect_set("subtree").alias("templates"))
+    distinct = marked.select("host", "page").distinct()
+    totals = distinct.groupBy(F.xxhash64("host").alias("on")).agg(F.count("*").alias("total"))
+    held = marked.select(F.xxhash64("host").alias("on"), "page", F.explode("subtrees").alias("subtree")).distinct()
+    counts = held.groupBy("on", "subtree").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_PAGES)
+    templates = counts.join(totals.hint("shuffle_hash"), "on").where(F.col("n") >= MIN_SHARE * F.col("total")).select("subtree")
+    hits = common.stored(marked.select("page_id", F.explode("subtrees").alias("subtree")).join(templates.hint("shuffle_hash"), "subtree").groupBy("page_id").agg(F.collect_set("subtree").alias("templates")))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, urls, texts = [], [], []
             for page_id, url, html, templates in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                tops = prune(parse(html or ""))
-                marks = subtrees(tops, host_of(url)) if templates else None
+                root = parse(html or "")
+                if templates:
+                    remove(root, subtrees(root, host_of(url)), frozenset(templates))
                 ids.append(page_id)
                 urls.append(url)
-                texts.append("\n".join(b for x in tops for b in blocks(x, frozenset(templates or ()), marks)))
+                texts.append("\n".join(b for x in prune(root) for b in blocks(x)))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(urls, pa.string()), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     joined = own.join(hits, "page_id", "left").select("page_id", "url", "html", "templates")

@@ -228,6 +228,19 @@ def test_html(spark):
     assert got[7] == "Own 7"
 
 
+def html_texts(spark, pages):
+    return {r["page_id"]: r["text"] for r in rows(html.extract(spark.createDataFrame(pages, "page_id long, url string, html string")))}
+
+
+def test_html_counts_decide(spark):
+    # frame text outside all lists of tags and classes, in paragraphs, list items, headings and inline elements
+    frame = '<span>My site</span><h2>The site</h2><p>All about <b>us</b></p><ul><li>first</li><li>of {0}</li></ul>'
+    pages = [(i, "http://h.x/a", f"{frame.format(i)}<div><p>Own <i>word</i> {i}</p></div><p>imprint<script>t({i})</script></p>") for i in range(30)]
+    assert html_texts(spark, pages)[7] == "of 7\nOwn word 7"
+    inside = [(i, "http://h.x/a", f"<article><p>Own {i}</p><p>Said <b>twice</b></p><p><a>Share</a> <a>Print</a></p></article>") for i in range(30)]
+    assert html_texts(spark, inside)[7] == "Own 7\nSaid twice"
+
+
 def test_urls(spark):
     data = [(1, "http://A.Example.NET/en/1?q"), (2, "http://x.net"), (3, "ftp://b.net/x#y"), (4, None), (5, "no scheme"), (6, "http://www.casino-win.example.com/en/"), (7, "http://casino-win.example.com/de/1"), (8, "http://q.org/fr/"), (8, "http://q.org/fr/"), (9, "http://badcasino-win.example.com/"), (10, "http://www.casino-win.example.com:80")]
     listed = spark.createDataFrame([("http://Casino-Win.example.com",), (None,), ("q.org/sub/",)], "entry string")
