@@ -26,9 +26,16 @@ from pyspark.sql import functions as F
 
 from quillon.llm import common
 
-#: A subtree is a template if it stands in at least so many different pages, and such a share, of its host.
-MIN_PAGES = 10
-MIN_SHARE = 0.2
+#: A subtree is a template if it stands in so many different pages of its host, however large the host is ...
+MIN_PAGES = 5
+#: ... or, on a host of few pages, in so many and nearly all of them.
+MIN_PAGES_SMALL = 2
+NEARLY_ALL = 0.9
+#: The same for subtrees that may be content that recurs: plain text without containers, or more than
+#: HEAVY characters that are not links, or a part of an article.
+MIN_PAGES_STRICT = 20
+MIN_PAGES_SMALL_STRICT = 5
+HEAVY = 200
 
 # Element names.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -212,7 +219,10 @@ def blocks(node: Node) -> list[str]:
 
 
 def subtrees(root: Node, host: str) -> dict[int, int]:
-    """A 64-bit hash of host, tags and text for each element of an unpruned page (by id) that may be a template."""
+    """A 64-bit hash of host, tags and text for each element of an unpruned page (by id) that may be a template.
+
+    The last bit is 1 if the stricter rule holds for the element.
+    """
     found: dict[int, int] = {}
     order, parent, _, holds = _survey(root)
     within: set[int] = set()  # in an article
@@ -248,7 +258,9 @@ def subtrees(root: Node, host: str) -> dict[int, int]:
             continue
         if id(x) in within and (x.tag in PROSE or x.tag not in BLOCKS | DROPPED) and sizes[id(x)][1] < n:
             continue
-        found[id(x)] = int.from_bytes(digests[id(x)], "little", signed=True)
+        own = n - sizes[id(x)][1]
+        strict = id(x) in within or own > HEAVY or own > 0 and (x.tag in PROSE or x.tag not in BLOCKS | DROPPED)
+        found[id(x)] = int.from_bytes(digests[id(x)], "little", signed=True) & ~1 | strict
     return found
 
 
@@ -289,8 +301,11 @@ def extract(pages: DataFrame) -> DataFrame:
     distinct = marked.select("host", "page").distinct()
     totals = distinct.groupBy(F.xxhash64("host").alias("on")).agg(F.count("*").alias("total"))
     held = marked.select(F.xxhash64("host").alias("on"), "page", F.explode("subtrees").alias("subtree")).distinct()
-    counts = held.groupBy("on", "subtree").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_PAGES)
-    templates = counts.join(totals.hint("shuffle_hash"), "on").where(F.col("n") >= MIN_SHARE * F.col("total")).select("subtree")
+    counts = held.groupBy("on", "subtree").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_PAGES_SMALL)
+    strict = F.col("subtree").bitwiseAND(F.lit(1)) == 1
+    many = F.col("n") >= F.when(strict, MIN_PAGES_STRICT).otherwise(MIN_PAGES)
+    nearly_all = (F.col("n") >= F.when(strict, MIN_PAGES_SMALL_STRICT).otherwise(MIN_PAGES_SMALL)) & (F.col("n") >= NEARLY_ALL * F.col("total"))
+    templates = counts.join(totals.hint("shuffle_hash"), "on").where(many | nearly_all).select("subtree")
     hits = common.stored(marked.select("page_id", F.explode("subtrees").alias("subtree")).join(templates.hint("shuffle_hash"), "subtree").groupBy("page_id").agg(F.collect_set("subtree").alias("templates")))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -241,6 +241,19 @@ def test_html_counts_decide(spark):
     assert html_texts(spark, inside)[7] == "Own 7\nSaid twice"
 
 
+def test_html_small_and_hot_hosts(spark):
+    def page(frame, own):
+        return f'<div><ul><li><a href="/">{frame}</a></li></ul></div><div><p>Own {own}</p></div>'
+
+    small = [(i, "http://small.x/a", page("Small", i)) for i in range(3)]
+    hot = [(100 + i, "http://hot.x/a", page(f"Section {i // 6}", i)) for i in range(120)]  # 5 % of the host each
+    got = html_texts(spark, small + hot + [(900, "http://one.x/", page("One", 0))])
+    assert (got[1], got[130], got[900]) == ("Own 1", "Own 30", "One\nOwn 0")
+    # what recurs by chance on a few of many pages stays
+    plain = [(i, "http://p.x/a", f"<div><p>Thanks{'.' if i % 10 else '!'}</p><p>Own {i}</p></div>") for i in range(60)]
+    assert html_texts(spark, plain)[10] == "Thanks!\nOwn 10"
+
+
 def test_urls(spark):
     data = [(1, "http://A.Example.NET/en/1?q"), (2, "http://x.net"), (3, "ftp://b.net/x#y"), (4, None), (5, "no scheme"), (6, "http://www.casino-win.example.com/en/"), (7, "http://casino-win.example.com/de/1"), (8, "http://q.org/fr/"), (8, "http://q.org/fr/"), (9, "http://badcasino-win.example.com/"), (10, "http://www.casino-win.example.com:80")]
     listed = spark.createDataFrame([("http://Casino-Win.example.com",), (None,), ("q.org/sub/",)], "entry string")
