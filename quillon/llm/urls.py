@@ -7,8 +7,8 @@ the rule's; the longest rule wins (of equally long ones the first by text).
 
 Urls that no rule judges are looked up in the list. A listed entry is a canonical host with an optional
 path prefix that ends at a `/`; it covers its host, subdomains and everything below the path. So a url
-has a bounded number of keys: up to HOST_LEVELS suffixes of its host (port and a trailing dot taken
-off) times up to PATH_LEVELS leading directories. The filter is a table of blocks, a 64-bit mask each,
+has a key for each suffix of its host (port and a trailing dot taken off) and each leading directory, up
+to the most labels and directories that any entry of the list has: longer keys can't be listed. The filter is a table of blocks, a 64-bit mask each,
 that is built by bit_or over the list. A key is passed on if its own bits are all set in its block, and
 an exact hash join with the list removes what was passed by chance.
 """
@@ -18,8 +18,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-HOST_LEVELS = 5
-PATH_LEVELS = 4
 #: Bits set for a key, listed keys for each 64-bit block, and rows of filter up to which it is broadcast (16 bytes each).
 KEY_BITS = 5
 KEYS_PER_BLOCK = 4
@@ -45,13 +43,13 @@ def best_rule(host: Column, path: Column, rules: list[tuple[str, str, str]]) ->
     return out
 
 
-def keys_of(host: Column, path: Column) -> Column:
-    """The canonical keys under which a listed entry can cover this url."""
+def keys_of(host: Column, path: Column, most_labels: int, most_steps: int) -> Column:
+    """The canonical keys under which a listed entry of so many host labels and directories can cover this url."""
     clean = F.regexp_replace(F.regexp_replace(host, r":\d*$", ""), r"\.+$", "")
     labels = F.split(F.regexp_replace(clean, r"^.*@", ""), r"\.")
-    hosts = F.transform(F.sequence(F.lit(1), F.least(F.size(labels), F.lit(HOST_LEVELS))), lambda k: F.array_join(F.slice(labels, F.size(labels) - k + 1, k), "."))
+    hosts = F.transform(F.sequence(F.lit(1), F.least(F.size(labels), F.lit(most_labels))), lambda k: F.array_join(F.slice(labels, F.size(labels) - k + 1, k), "."))
     steps = F.split(F.regexp_extract(path, r"^/?(.*/)?", 1), "/")
-    depth = F.least(F.size(steps) - 1, F.lit(PATH_LEVELS))
+    depth = F.least(F.size(steps) - 1, F.lit(most_steps))
     paths = F.transform(F.sequence(F.lit(0), depth), lambda k: F.concat(F.lit("/"), F.array_join(F.slice(steps, 1, k), "/"), F.when(k > 0, "/").otherwise("")))
     keys = F.flatten(F.transform(hosts, lambda h: F.transform(paths, lambda p: F.concat(h, p))))
     return F.when(host == "", F.array().cast("array<string>")).otherwise(F.array_distinct(keys))
@@ -89,7 +87,8 @@ def judge(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str, str]]
     Null and repeated page_ids keep a row each; null entries are left out.
     """
     keys = listed.where("entry is not null").select(canonical(F.col("entry")).alias("key")).distinct()
-    n = keys.count()
+    labels, steps = F.size(F.split(F.substring_index("key", "/", 1), r"\.")), F.size(F.split("key", "/")) - 2
+    n, most_labels, most_steps = keys.agg(F.count("*"), F.coalesce(F.max(labels), F.lit(1)), F.coalesce(F.max(steps), F.lit(0))).first()
     blocks = max(1, n // KEYS_PER_BLOCK)
     filter_ = bloom(keys, blocks)
     filter_ = F.broadcast(filter_) if blocks <= MOST_BROADCAST_BLOCKS else filter_
@@ -98,7 +97,7 @@ def judge(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str, str]]
     judged = split.withColumn("rule", best_rule(F.col("host"), F.col("path"), rules))
     # one lookup for each distinct host and directory, however many pages it has
     open_ = judged.where("rule is null and host <> ''").select("host", F.regexp_extract("path", r"^(.*/)?", 1).alias("dir")).distinct()
-    asked = open_.select("host", "dir", F.explode(keys_of(F.col("host"), F.col("dir"))).alias("key")).withColumn("block", _block(F.col("key"), blocks)).withColumn("bits", _mask(F.col("key")))
+    asked = open_.select("host", "dir", F.explode(keys_of(F.col("host"), F.col("dir"), most_labels, most_steps)).alias("key")).withColumn("block", _block(F.col("key"), blocks)).withColumn("bits", _mask(F.col("key")))
     possible = asked.join(filter_, "block").where(F.col("mask").bitwiseAND(F.col("bits")) == F.col("bits"))
     hits = possible.join(keys.hint("shuffle_hash"), "key").select("host", "dir").distinct().withColumn("hit", F.lit(True))
     verdicts = {h + p: v for h, p, v in rules}

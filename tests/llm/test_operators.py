@@ -264,6 +264,14 @@ def test_urls(spark):
     assert got[0][1:3] == ("a.example.net", "/en/1")
 
 
+def test_urls_deep_entries(spark):
+    data = [(1, "http://a.b.c.d.e.example/"), (2, "http://x.a.b.c.d.e.example/p"), (3, "http://b.c.d.e.example/"), (4, "http://h.com/a/b/c/d/e/f/"), (5, "http://w.h.com/a/b/c/d/e/f/g/h/i?q"), (6, "http://h.com/a/b/c/d/e/g"), (7, "http://h.com/a/b/c/d/e/f")]
+    pages = spark.createDataFrame(data, "page_id long, url string")
+    listed = spark.createDataFrame([("a.b.c.d.e.example",), ("http://h.com/a/b/c/d/e/f/",)], "entry string")
+    assert {r["page_id"] for r in rows(urls.judge(pages, listed, [])) if r["verdict"] == "block"} == {1, 2, 4, 5}
+    assert {r["verdict"] for r in rows(urls.judge(pages, listed.where("false"), []))} == {"allow"}
+
+
 def test_toxicity(spark, docs, odd, none):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     got = rows(toxicity.classify(docs, labels))
