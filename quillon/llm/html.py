@@ -130,6 +130,10 @@ def _marked(node: Node) -> bool:
     return not MARKS.isdisjoint(words)
 
 
+def _article(node: Node) -> bool:
+    return _is_root(node) and not _marked(node)
+
+
 def _survey(root: Node) -> tuple[list[Node], dict[int, Node], set[int], set[int]]:
     """All elements (parents first), their parents, those that go by tag or as hidden, and those that are or hold an article."""
     order, parent = list(_elements(root)), {}
@@ -140,14 +144,17 @@ def _survey(root: Node) -> tuple[list[Node], dict[int, Node], set[int], set[int]
     dropped: set[int] = set()
     holds: set[int] = set()
     for x in order:
-        if x is not root and (id(parent[id(x)]) in dropped or x.tag in DROPPED or "hidden" in x.attrs or x.attrs.get("aria-hidden") == "true"):
+        if x is not root and (id(parent[id(x)]) in dropped or x.tag in DROPPED and x.tag != "form" or "hidden" in x.attrs or x.attrs.get("aria-hidden") == "true"):
             dropped.add(id(x))
-        elif _is_root(x) and not _marked(x):
+        elif _article(x):
             holds.add(id(x))
             y = x
             while id(y) in parent:
                 y = parent[id(y)]
                 holds.add(id(y))
+    for x in order:  # of a form around an article only the controls go
+        if x.tag == "form" and id(x) not in holds or x is not root and id(parent[id(x)]) in dropped:
+            dropped.add(id(x))
     return order, parent, dropped, holds
 
 
@@ -155,7 +162,7 @@ def prune(root: Node) -> list[Node]:
     """Take off what is never main text, in place; return the elements that hold the article, or the whole page.
 
     An element whose class marks it stays if an article stands in it (a page's outer frame may be named
-    for its sidebar), and so does an article of the page's own.
+    for its sidebar), and so does each article of the page's own, whatever its size.
     """
     order, parent, dropped, holds = _survey(root)
     inside: set[int] = set()
@@ -179,11 +186,6 @@ def prune(root: Node) -> list[Node]:
         if _is_root(x) and id(x) in holds and id(x) not in inside:
             tops.append(x)
         todo += [c for c in reversed(x.children) if isinstance(c, Node)]
-    if len(tops) > 1:  # teasers beside the article are articles, too
-        sizes = [len(" ".join(blocks(x))) for x in tops]
-        most = max(range(len(tops)), key=sizes.__getitem__)
-        if 2 * sizes[most] > sum(sizes):
-            tops = [tops[most]]
     return tops or [root]
 
 
@@ -254,7 +256,7 @@ def subtrees(root: Node, host: str) -> dict[int, int]:
                 n, linked = n + sizes[id(c)][0], linked + sizes[id(c)][1]
         digests[id(x)] = h.digest()
         sizes[id(x)] = n, n if x.tag == "a" else linked
-        if not n or x is root or x.tag in ("html", "body") or id(x) in holds or id(x) in fixed:
+        if not n or x is root or x.tag in ("html", "body") or id(x) in holds and not _article(x) or id(x) in fixed:
             continue
         if id(x) in within and (x.tag in PROSE or x.tag not in BLOCKS | DROPPED) and sizes[id(x)][1] < n:
             continue
@@ -271,9 +273,27 @@ def _running(x: Node, up: Node) -> bool:
 
 
 def remove(root: Node, marks: dict[int, int], templates: frozenset[int]) -> None:
-    """Take the elements whose mark is a template's off the page, in place."""
-    for x in list(_elements(root)):
-        x.children = [c for c in x.children if not isinstance(c, Node) or marks.get(id(c)) not in templates]
+    """Take the elements whose mark is a template's off the page, in place.
+
+    Articles that recur are teasers, but only on a page that has another one.
+    """
+    order, parent, _, holds = _survey(root)
+    gone: set[int] = set()
+    around: set[int] = set()  # articles, and what holds them, that have one below
+    for x in order:
+        up = parent.get(id(x))
+        if marks.get(id(x)) in templates or up is not None and id(up) in gone:
+            gone.add(id(x))
+        if id(x) in holds and up is not None:
+            around.add(id(up))
+    kept: set[int] = set()
+    if all(id(x) in gone for x in order if id(x) in holds and id(x) not in around):
+        kept |= holds
+        for x in order:  # and with the only articles all of their parts
+            if _article(x) and id(x) in holds:
+                kept.update(id(y) for y in _elements(x))
+    for x in order:
+        x.children = [c for c in x.children if not isinstance(c, Node) or id(c) in kept or marks.get(id(c)) not in templates]
 
 
 def host_of(url: str | None) -> str:

@@ -254,6 +254,16 @@ def test_html_small_and_hot_hosts(spark):
     assert html_texts(spark, plain)[10] == "Thanks!\nOwn 10"
 
 
+def test_html_articles_stay(spark):
+    long, short = "six " * 150, "five " * 100
+    teaser = '<article><a href="/t">Read the other one</a></article>'
+    pages = [(1, "http://a.x/", f"<article><p>{long}</article><article><p>{short}</article>"), (2, "http://b.x/", "<form><input><label>L</label><article><p>In a form</article><button>Go</button></form>"), (3, "http://c.x/", "<p>Text</p><form><p>Search</p></form>")]
+    pages += [(10 + i, "http://t.x/", f"<article><p>Own {i}</article>{teaser}") for i in range(6)] + [(20 + i, "http://t.x/", f"{teaser}<p>{i}</p>") for i in range(2)]
+    got = html_texts(spark, pages)
+    assert got[1] == f"{long.strip()}\n{short.strip()}"
+    assert (got[2], got[3], got[10], got[20]) == ("In a form", "Text", "Own 0", "Read the other one")
+
+
 def test_urls(spark):
     data = [(1, "http://A.Example.NET/en/1?q"), (2, "http://x.net"), (3, "ftp://b.net/x#y"), (4, None), (5, "no scheme"), (6, "http://www.casino-win.example.com/en/"), (7, "http://casino-win.example.com/de/1"), (8, "http://q.org/fr/"), (8, "http://q.org/fr/"), (9, "http://badcasino-win.example.com/"), (10, "http://www.casino-win.example.com:80")]
     listed = spark.createDataFrame([("http://Casino-Win.example.com",), (None,), ("q.org/sub/",)], "entry string")
