@@ -7,13 +7,15 @@ finds every place at which a match can be. Each such place is verified with Myer
 distance, first on the piece and its neighbour, then on twice as many pieces and so on up to the whole
 item: n pieces that lie in a match of the right kind have at most n - 1 edits, so chance hits end early.
 
-Null, empty and very short items (under min_chars characters, which would be met by chance) are left
-out; a null or empty document matches nothing. Repeated doc_ids or items are judged each on its own.
+Short items (under min_chars characters, which would be met by chance within a budget or inside words)
+have a budget of 0 and need a word border at both ends. Null and empty items are left out; a null or
+empty document matches nothing. Repeated doc_ids or items are judged each on its own.
 Items are sent to the executors in groups of at most MOST_ITEM_CHARS characters, a scan for each group.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -33,6 +35,13 @@ def normal(text: str | None) -> str:
     return " ".join((text or "").lower().split())
 
 
+def bordered(text: str, a: int, b: int) -> bool:
+    """Whether text[a:b] neither begins nor ends inside a word; characters of full width are words of their own."""
+    return all(
+        not (0 < i < len(text)) or any(not (c.isalnum() or unicodedata.combining(c)) or unicodedata.east_asian_width(c) in "WF" for c in text[i - 1 : i + 1]) for i in (a, b)
+    )
+
+
 def split(m: int, k: int) -> list[tuple[int, int]]:
     """k + 1 pieces of nearly equal length that cover m characters: (start, end)."""
     return [(i * m // (k + 1), (i + 1) * m // (k + 1)) for i in range(k + 1)]
@@ -84,12 +93,13 @@ def closest(peq: dict[str, int], m: int, text: str, most: int) -> tuple[int, int
 
 
 class Matcher:
-    """Finds all items (id, normalised text) in a text."""
+    """Finds all items (id, normalised text) in a text; those under min_chars characters as whole words without edits."""
 
-    def __init__(self, items: list[tuple[int, str]], rate: float):
+    def __init__(self, items: list[tuple[int, str]], rate: float, min_chars: int = 0):
         import ahocorasick
 
-        self.items = [(i, t, int(rate * len(t)), masks(t)) for i, t in items]
+        self.min_chars = min_chars
+        self.items = [(i, t, int(rate * len(t)) if len(t) >= min_chars else 0, masks(t)) for i, t in items]
         pieces: dict[str, list[tuple[int, int, list]]] = {}
         for n, (_, t, k, _) in enumerate(self.items):
             cut = split(len(t), k)
@@ -125,9 +135,11 @@ class Matcher:
                     places.setdefault(n, set()).add(d)
         for n, diagonals in places.items():
             item, t, k, peq = self.items[n]
-            exact = min((d for d in diagonals if d >= 0 and text.startswith(t, d)), default=None)
+            short = len(t) < self.min_chars
+            exact = min((d for d in diagonals if d >= 0 and text.startswith(t, d) and (not short or bordered(text, d, d + len(t)))), default=None)
             if exact is not None:
                 yield item, 0, exact + len(t)
+            if exact is not None or short:
                 continue
             best, reach = None, None
             windows: list[list[int]] = []
@@ -146,25 +158,25 @@ class Matcher:
                 yield item, *best
 
 
-def _groups(benchmark: DataFrame, min_chars: int) -> list[list[tuple[int, str]]]:
+def _groups(benchmark: DataFrame) -> list[list[tuple[int, str]]]:
     size = benchmark.agg(F.sum(F.length("text"))).first()[0] or 0
     groups = max(1, -(-size // MOST_ITEM_CHARS))
     own = benchmark.select("item_id", "text", F.pmod(F.xxhash64("item_id"), F.lit(groups)).alias("g"))
     out = []
     for g in range(groups):
         items = [(r["item_id"], normal(r["text"])) for r in own.where(F.col("g") == g).collect()]
-        out.append([x for x in items if len(x[1]) >= min_chars])
+        out.append([x for x in items if x[1]])
     return out
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, min_chars: int = MIN_CHARS) -> DataFrame:
     """A row for each item (item_id, text) that a document (doc_id, text) holds within the item's budget."""
     spark, out = docs.sparkSession, None
-    for items in _groups(benchmark, min_chars):
+    for items in _groups(benchmark):
         shared = spark.sparkContext.broadcast(items)
 
         def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            own = Matcher(shared.value, rate)
+            own = Matcher(shared.value, rate, min_chars)
             for batch in batches:
                 rows = [(doc, *m) for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for m in own.matches(text or "")]
                 columns = list(zip(*rows, strict=True)) or [(), (), (), ()]
@@ -179,11 +191,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, min_chars:
 def clean(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, min_chars: int = MIN_CHARS) -> DataFrame:
     """The documents that hold no item, with all their columns; no shuffle."""
     spark = docs.sparkSession
-    for items in _groups(benchmark, min_chars):
+    for items in _groups(benchmark):
         shared, at = spark.sparkContext.broadcast(items), docs.columns.index("text")
 
         def scan(batches: Iterator[pa.RecordBatch], shared=shared, at=at) -> Iterator[pa.RecordBatch]:
-            own = Matcher(shared.value, rate)
+            own = Matcher(shared.value, rate, min_chars)
             for batch in batches:
                 yield batch.filter(pa.array([next(own.matches(t or ""), None) is None for t in batch.column(at).to_pylist()], pa.bool_()))
 

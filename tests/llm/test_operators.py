@@ -216,6 +216,14 @@ def test_decontamination(spark, docs, odd, none):
     assert decontam.leaks(odd, items.where("false")).count() == 0
 
 
+def test_decontamination_short_items(spark):
+    items = spark.createDataFrame([(1, "In  Rome"), (2, "42"), (3, "東京"), (4, " ")], "item_id long, text string")
+    texts = ["It was in rome.", "in romeo", "142 and 42nd", "(42)", "当時の東京は", "begin rome", "in Rom", "in romeo, in rome"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {tuple(r) for r in decontam.leaks(df, items).collect()} == {(0, 1, 0, 14), (3, 2, 0, 3), (4, 3, 0, 5), (7, 1, 0, 17)}
+    assert {r["doc_id"] for r in rows(decontam.clean(df, items))} == {1, 2, 5, 6}
+
+
 def test_html(spark):
     frame = '<nav><a href="/">Home</a></nav><div class="hello"><p>Site words of {0}</p></div>'
     pages = [(i, f"http://h{i % 2}.x/{i}", f"<html><body>{frame.format(i % 2)}<article><h1>T {i}</h1><p><b>A &amp; b<br>c{i}<p>Same text<script>x('</p>')</script></article><footer>f") for i in range(40)]
