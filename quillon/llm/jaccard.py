@@ -348,6 +348,19 @@ def join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """One document of each class, that of the least doc_id, with all columns (and all its rows) of docs."""
-    kept = join(docs, threshold).where("doc_id = class_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    """One row of each class, that of the least doc_id, with all columns of docs.
+
+    Unlike in join(), each distinct text of a doc_id is judged on its own, and a null doc_id takes part as
+    the largest. So a row's key is a hash of doc_id and text; of exact repeats of both one row stays.
+    """
+    key = F.xxhash64("doc_id", F.col("doc_id").isNull(), "text")
+    judged = join(docs.select(key.alias("doc_id"), "text"), threshold).select(F.col("doc_id").alias("key"), "class_id")
+    rows = docs.groupBy(key.alias("key"), "doc_id").agg(F.count("*").alias("n"))
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key", "n")).alias("x")
+    kept = common.stored(rows.join(judged, "key").groupBy("class_id").agg(first).select(F.col("x.key").alias("_key"), F.col("x.n").alias("_n")))
+    keyed = docs.withColumn("_key", key)
+    out = keyed.join(kept.where("_n = 1"), "_key", "left_semi")
+    repeated = kept.where("_n > 1").select("_key")
+    if not repeated.isEmpty():
+        out = out.union(keyed.join(repeated, "_key", "left_semi").select(out.columns).dropDuplicates(["_key"]))
+    return out.select(docs.columns)

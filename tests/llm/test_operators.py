@@ -87,6 +87,13 @@ def test_jaccard_large_group(spark):
     check_jaccard(spark.createDataFrame(texts, "doc_id long, text string"))
 
 
+def test_keep_one_row_of_each_class(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    data = [(None, a, "1"), (None, b, "2"), (5, b, "3"), (5, c, "4"), (5, c, "5"), (3, c + " more", "6"), (7, "x y z", "7"), (7, "x y z", "8"), (None, "none", "9"), (None, "none", "10")]
+    got = rows(jaccard.keep_one(spark.createDataFrame(data, "doc_id long, text string, lang string")))
+    assert sorted((str(r["doc_id"]), r["text"]) for r in got) == sorted([("None", a), ("5", b), ("3", c + " more"), ("7", "x y z"), ("None", "none")])
+
+
 def check_dedup(df):
     data = sorted(((r["doc_id"], (r["text"] or "").encode()) for r in rows(df)), key=lambda x: x[0])
     first, want = {}, {}
