@@ -86,6 +86,24 @@ def knn_l2(spark, sf_dir):
     return vectors.knn(e, e.where("vec_id = 0").first()["embedding"], "l2", 10)
 
 
+_EACH = """
+    SELECT query_id, vec_id, score FROM (SELECT q.vec_id AS query_id, e.vec_id, round({score}, 6) AS score
+        FROM embeddings e CROSS JOIN (SELECT * FROM embeddings WHERE vec_id % 50 = 0) q) x
+    QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 10"""
+
+
+@query("knn_cosine_each", _EACH.format(score="(1 + list_cosine_similarity(cast(e.embedding as double[]), cast(q.embedding as double[]))) / 2"))
+def knn_cosine_each(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    return vectors.knn_each(e, e.where("vec_id % 50 = 0"), "cosine", 10)
+
+
+@query("knn_l2_each", _EACH.format(score="1 / (1 + pow(list_distance(cast(e.embedding as double[]), cast(q.embedding as double[])), 2))"))
+def knn_l2_each(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    return vectors.knn_each(e, e.where("vec_id % 50 = 0"), "l2", 10)
+
+
 @query("rrf_fusion", f"""
     WITH a AS (SELECT doc_id AS id, row_number() OVER (ORDER BY score DESC, doc_id) AS r FROM ({bm25_sql(('idiot', 'password'))})),
          b AS (SELECT doc_id AS id, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS r FROM documents)
