@@ -10,7 +10,8 @@ length.
 * Smaller pieces, from the longest down, go to the bin with the least room that holds them.
 
 Nulls and empty texts are documents of one token (the end id). Repeated doc_ids are packed each on its
-own. An empty table gives no rows. Other columns are ignored.
+own, and so are rows with a null doc_id, which stay null. An empty table gives no rows. Other columns,
+whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -33,36 +34,28 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 RANKED_TOGETHER = 50_000
 
 
-def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, with_ids: bool = False) -> DataFrame:
-    """A row for each piece of at most capacity tokens of each document's ids and end_id; ids as an array on request."""
+def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> DataFrame:
+    """A row for each piece of at most capacity tokens of each document's ids and end_id."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
         for whole in batches:
-            for batch in common.slices_by_bytes(whole, "text", 1_000_000):
-                docs_, piece, start, length, crc, held = [], [], [], [], [], []
-                texts = [t or "" for t in batch.column(1).to_pylist()]
-                for doc, raw in zip(batch.column(0).to_pylist(), enc.ids(texts), strict=True):
-                    ids = np.empty(len(raw) // enc.dtype.itemsize + 1, "<u4")
-                    ids[:-1] = np.frombuffer(raw, enc.dtype)
-                    ids[-1] = end_id
-                    for k, at in enumerate(range(0, len(ids), capacity)):
-                        own = ids[at : at + capacity]
-                        docs_.append(doc)
-                        piece.append(k)
-                        start.append(at)
-                        length.append(len(own))
-                        crc.append(zlib.crc32(own))
-                        if with_ids:
-                            held.append(own.astype(np.int32))
-                arrays = [pa.array(docs_, pa.int64()), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))]
-                names = ["doc_id", "piece", "start", "length", "ids_crc32"]
-                if with_ids:
-                    arrays.append(pa.array(held, pa.list_(pa.int32())))
-                    names.append("ids")
-                yield pa.RecordBatch.from_arrays(arrays, names)
-
-    return common.mapped(docs.select("doc_id", "text"), cut, PIECES + (", ids array<int>" if with_ids else ""))
+            for batch in common.slices_by_bytes(whole, "text", 2_000_000):
+                ids, lengths = enc.ended(*common.text_bytes(batch.column(1)), end_id)
+                ids = ids.astype("<u4")
+                n = -(-lengths // capacity)
+                row = np.repeat(np.arange(len(batch)), n)
+                piece = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+                start = piece * capacity
+                length = np.minimum(lengths[row] - start, capacity)
+                end = np.cumsum(length)
+                crc = [zlib.crc32(ids[a:b]) for a, b in zip((end - length).tolist(), end.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).cast(pa.int64()).take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
+                    ["doc_id", "piece", "start", "length", "ids_crc32"],
+                )
+
+    return common.mapped(docs.select("doc_id", "text"), cut, PIECES)
 
 
 def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:
