@@ -8,7 +8,12 @@ Patched frame-of-reference file (little-endian):
   Block of up to BLOCK ids: base u32 | width u8 | exceptions u16 | packed (id - base) of `width` bits |
   exception places u16 each | exception excesses u32 each (the bits above `width`).
   The width is the least that holds the share KEEP of the block's values; the rest are exceptions.
-  Footer: n_blocks u64, n_ids u64, n_docs u64, block starts u64 each, doc ids i64 each, lengths u64 each.
+  Footer: n_blocks u64, n_ids u64, n_docs u64, block starts u64 each, doc ids i64 each (0 for null),
+  lengths u64 each, and a byte each that is 1 where the doc id is not null.
+
+Null and empty texts are documents of the end id alone. Null doc_ids stay null and come first, rows that
+share a doc_id stand one after the other in the order of a hash of their texts. An empty table writes no
+file and gives no rows. Other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -35,6 +40,8 @@ KEEP = 0.9
 #: Bytes of one PFOR file's worth of text, about; and tokens in a block of a flat file's scan.
 FILE_TEXT_BYTES = 8_000_000
 SCAN_TOKENS = 1 << 20
+#: What the name of a flat file's list of doc_ids ends with: i64 each, then a byte each that is 1 where it is not null.
+NAMES = ".names"
 
 
 def write_file(uri: str, parts: list[bytes]) -> None:
@@ -147,13 +154,24 @@ def decode_blocks(data: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
     return (out + base[:, None]).ravel()[:n]
 
 
-def pfor_file(doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> list[bytes]:
+def pfor_file(doc_ids: pa.Array, lengths: np.ndarray, ids: np.ndarray) -> list[bytes]:
     data, starts = encode_blocks(ids)
-    footer = struct.pack("<QQQ", len(starts), len(ids), len(doc_ids)) + starts.astype("<u8").tobytes() + doc_ids.astype("<i8").tobytes() + lengths.astype("<u8").tobytes()
+    names, valid = _names(doc_ids)
+    footer = struct.pack("<QQQ", len(starts), len(ids), len(doc_ids)) + starts.astype("<u8").tobytes() + names + lengths.astype("<u8").tobytes() + valid
     return [MAGIC, data, footer, struct.pack("<I", len(footer)), MAGIC]
 
 
-def read_pfor(raw: memoryview) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _names(doc_ids: pa.Array) -> tuple[bytes, bytes]:
+    """doc ids as i64 each, and a byte each that tells whether it is one."""
+    held = doc_ids.cast(pa.int64())
+    return held.fill_null(0).to_numpy().astype("<i8").tobytes(), held.is_valid().to_numpy(zero_copy_only=False).astype(np.uint8).tobytes()
+
+
+def _named(names: bytes, valid: bytes) -> pa.Array:
+    return pa.array(np.frombuffer(names, "<i8"), mask=np.frombuffer(valid, np.uint8) == 0)
+
+
+def read_pfor(raw: memoryview) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """doc ids, lengths and ids of a file."""
     raw = np.frombuffer(raw, np.uint8)
     if raw[: len(MAGIC)].tobytes() != MAGIC or raw[-len(MAGIC) :].tobytes() != MAGIC:
@@ -164,25 +182,16 @@ def read_pfor(raw: memoryview) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     blocks, n, docs = struct.unpack_from("<QQQ", footer)
     at = 24
     starts = np.frombuffer(footer, "<u8", blocks, at)
-    doc_ids = np.frombuffer(footer, "<i8", docs, at + 8 * blocks)
-    lengths = np.frombuffer(footer, "<u8", docs, at + 8 * blocks + 8 * docs)
+    at += 8 * blocks
+    doc_ids = _named(footer[at : at + 8 * docs], footer[at + 16 * docs : at + 17 * docs])
+    lengths = np.frombuffer(footer, "<u8", docs, at + 8 * docs)
     return doc_ids, lengths, decode_blocks(raw[len(MAGIC) : end - size], starts, n)
 
 
-def _encoded(batch: pa.RecordBatch, tokenizer: str, end_id: int, ordinary: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """All ids of a batch's texts, each with end_id after it, and their lengths."""
-    enc = encoder(tokenizer, ordinary)
-    raw = enc.ids([t or "" for t in batch.column(1).to_pylist()])
-    end = np.array([end_id], enc.dtype).tobytes()
-    lengths = np.array([len(x) // enc.dtype.itemsize + 1 for x in raw], np.int64)
-    return np.frombuffer(end.join([*raw, b""]), enc.dtype), lengths
-
-
 def write_pfor(docs: DataFrame, tokenizer: str, end_id: int = 1, at: str | None = None) -> DataFrame:
     """Write all documents (doc_id, text) in ascending doc_id order; a stored row for each file.
 
-    Files hold disjoint ranges of doc_id and are cut at about FILE_TEXT_BYTES of text. A null text is
-    empty (the end id alone); repeated doc_ids are kept, one after the other.
+    Files hold disjoint ranges of (doc_id, hash of the text) and are cut at about FILE_TEXT_BYTES of text.
     """
     spark = docs.sparkSession
     at = at or common.shared_dir(spark)
@@ -191,18 +200,20 @@ def write_pfor(docs: DataFrame, tokenizer: str, end_id: int = 1, at: str | None
         from pyspark import TaskContext
 
         part, k, size = TaskContext.get().partitionId(), 0, 0
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        held: list[tuple[pa.Array, np.ndarray, np.ndarray]] = []
+        enc = encoder(tokenizer)
 
         def flush() -> pa.RecordBatch:
-            doc_ids, lengths, ids = (np.concatenate(x) for x in zip(*held, strict=True))
+            named, *rest = zip(*held, strict=True)
+            doc_ids, (lengths, ids) = pa.concat_arrays(named), (np.concatenate(x) for x in rest)
             uri = f"{at}/part-{part:06d}-{k:06d}.pfor"
             write_file(uri, pfor_file(doc_ids, lengths, ids))
             return pa.RecordBatch.from_pydict({"uri": [uri], "part": [part], "k": [k], "n_docs": [len(doc_ids)], "n_ids": [len(ids)]})
 
         for whole in batches:
             for batch in common.slices_by_bytes(whole, "text", 2_000_000):
-                ids, lengths = _encoded(batch, tokenizer, end_id)
-                held.append((batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), lengths, ids.astype(np.uint32)))
+                ids, lengths = enc.ended(*common.text_bytes(batch.column(1)), end_id)
+                held.append((batch.column(0).cast(pa.int64()), lengths, ids.astype(np.uint32)))
                 size += batch.column(1).nbytes
                 if size >= FILE_TEXT_BYTES:
                     yield flush()
@@ -211,7 +222,8 @@ def write_pfor(docs: DataFrame, tokenizer: str, end_id: int = 1, at: str | None
             yield flush()
 
     parts = common.shuffle_parts(spark)
-    ordered = docs.select("doc_id", "text").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
+    keys = "doc_id", F.xxhash64("text")
+    ordered = docs.select("doc_id", "text").repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
     files = common.mapped(ordered, write, "uri string, part long, k long, n_docs long, n_ids long")
     return common.stored(files, f"{at}/files")
 
@@ -234,7 +246,7 @@ def read_back(files: DataFrame) -> DataFrame:
                 ends = np.cumsum(lengths)
                 starts, flat = ends - lengths, ids.astype("<u4")
                 crc = [zlib.crc32(flat[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(doc_ids), pa.array(starts + before), pa.array(lengths), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays([doc_ids, pa.array(starts + before), pa.array(lengths), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     spread = first.repartition(common.shuffle_parts(spark), "uri")
     return common.mapped(spread, read, "doc_id long, start long, n_tokens long, ids_crc32 long")
@@ -243,9 +255,10 @@ def read_back(files: DataFrame) -> DataFrame:
 def write_flat(docs: DataFrame, tokenizer: str, end_id: int, at: str | None = None) -> DataFrame:
     """Flat unindexed token files (u16 or u32 ids, end_id after each document), one for each input partition.
 
-    Returns a stored row for each file: uri, width in bytes, n_ids and the doc_ids in the order in which
-    they were written (no boundaries: finding these is the scan's work). end_id must be an id that no
-    text gets, such as the tokenizer's end-of-text token, whose string is taken as ordinary text here.
+    Returns a stored row for each file: uri, width in bytes, n_ids and n_docs. Beside it lies a list of the
+    doc_ids in the order in which they were written (no boundaries: finding these is the scan's work).
+    end_id must be an id that no text gets, such as the tokenizer's end-of-text token, whose string is
+    taken as ordinary text here.
     """
     at = at or common.shared_dir(docs.sparkSession)
 
@@ -255,30 +268,37 @@ def write_flat(docs: DataFrame, tokenizer: str, end_id: int, at: str | None = No
         uri = f"{at}/flat-{TaskContext.get().partitionId():06d}.ids"
         fs, path = pafs.FileSystem.from_uri(uri)
         fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
-        temporary, n, doc_ids, width = f"{path}.{uuid.uuid4().hex}.tmp", 0, [], encoder(tokenizer).dtype.itemsize
+        enc = encoder(tokenizer, ordinary=True)
+        temporary, n, names, valid = f"{path}.{uuid.uuid4().hex}.tmp", 0, [], []
         with fs.open_output_stream(temporary) as out:
             for whole in batches:
                 for batch in common.slices_by_bytes(whole, "text", 2_000_000):
-                    ids, _ = _encoded(batch, tokenizer, end_id, ordinary=True)
+                    ids, _ = enc.ended(*common.text_bytes(batch.column(1)), end_id)
                     out.write(ids.tobytes())
                     n += len(ids)
-                    doc_ids.append(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64))
+                    own = _names(batch.column(0))
+                    names.append(own[0])
+                    valid.append(own[1])
+        if not n:
+            fs.delete_file(temporary)
+            return
+        write_file(uri + NAMES, names + valid)
         fs.move(temporary, path)
-        if n:
-            order = np.concatenate(doc_ids)
-            yield pa.RecordBatch.from_arrays([pa.array([uri]), pa.array([width]), pa.array([n]), pa.array([order], pa.list_(pa.int64()))], ["uri", "width", "n_ids", "doc_ids"])
+        yield pa.RecordBatch.from_pydict({"uri": [uri], "width": [enc.dtype.itemsize], "n_ids": [n], "n_docs": [sum(map(len, valid))]})
 
-    return common.stored(common.mapped(docs.select("doc_id", "text"), write, "uri string, width long, n_ids long, doc_ids array<long>"), f"{at}/files")
+    return common.stored(common.mapped(docs.select("doc_id", "text"), write, "uri string, width long, n_ids long, n_docs long"), f"{at}/files")
 
 
 def scan_flat(files: DataFrame, end_id: int, block: int = SCAN_TOKENS) -> DataFrame:
-    """Token counts of the documents in flat files: uri, ordinal, start, n_tokens (with the end id).
+    """The documents' ends in flat files, a row for each block: uri, n_docs, block, ends, open and n_before.
 
     Each block is searched on its own; what a document began in earlier blocks is stitched by a prefix
-    maximum over the blocks' last separators, and its number by a prefix sum over their counts. Tokens
-    after a file's last separator belong to no document and are left out.
+    maximum over the blocks' last separators (open: where the block's first document begins), and its
+    number by a prefix sum over their counts (n_before). Tokens after a file's last separator belong to no
+    document and are left out.
     """
-    blocks = files.select("uri", "width", "n_ids", F.explode(F.sequence(F.lit(0).cast("long"), ((F.col("n_ids") - 1) / block).cast("long"))).alias("block"))
+    last = ((F.col("n_ids") - 1) / block).cast("long")
+    blocks = files.where("n_ids > 0").select("uri", "width", "n_ids", "n_docs", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("block"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -289,22 +309,38 @@ def scan_flat(files: DataFrame, end_id: int, block: int = SCAN_TOKENS) -> DataFr
                     f.seek(first * row["width"])
                     ids = np.frombuffer(f.read(min(block, row["n_ids"] - first) * row["width"]), f"<u{row['width']}")
                 ends = np.flatnonzero(ids == end_id) + first + 1
-                yield pa.RecordBatch.from_arrays([pa.array([row["uri"]]), pa.array([row["block"]]), pa.array([ends], pa.list_(pa.int64()))], ["uri", "block", "ends"])
+                yield pa.RecordBatch.from_arrays([pa.array([row["uri"]]), pa.array([row["n_docs"]]), pa.array([row["block"]]), pa.array([ends], pa.list_(pa.int64()))], ["uri", "n_docs", "block", "ends"])
 
-    found = common.mapped(blocks.repartition(common.shuffle_parts(files.sparkSession), "uri", "block"), scan, "uri string, block long, ends array<long>")
+    found = common.mapped(blocks.repartition(common.shuffle_parts(files.sparkSession), "uri", "block"), scan, "uri string, n_docs long, block long, ends array<long>")
     before = Window.partitionBy("uri").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    stitched = found.select(
-        "uri",
-        "ends",
+    return found.select(
+        "*",
         F.coalesce(F.max(F.expr("try_element_at(ends, -1)")).over(before), F.lit(0)).alias("open"),
         F.coalesce(F.sum(F.size("ends")).over(before), F.lit(0)).alias("n_before"),
     )
-    each = stitched.select("uri", "n_before", F.posexplode(F.arrays_zip(F.expr("concat(array(open), slice(ends, 1, greatest(size(ends) - 1, 0)))").alias("a"), F.col("ends").alias("b"))).alias("i", "x")).where("x.b is not null")
-    return each.select("uri", (F.col("n_before") + F.col("i")).alias("ordinal"), F.col("x.a").alias("start"), (F.col("x.b") - F.col("x.a")).alias("n_tokens"))
 
 
 def token_counts(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
-    """Write flat files, scan them, and name the documents by their place in them."""
-    files = write_flat(docs, tokenizer, end_id)
-    names = files.select(F.col("uri"), F.posexplode("doc_ids").alias("ordinal", "doc_id"))
-    return scan_flat(files, end_id).join(names, ["uri", "ordinal"]).select("doc_id", "n_tokens", F.element_at(F.split("uri", "/"), -1).alias("file"), "ordinal", "start")
+    """Write flat files, scan them, and name the documents by their place in them.
+
+    doc_id, n_tokens (with the end id), file, ordinal and start of each document. Each block reads its own
+    part of its file's list of doc_ids; nothing is joined.
+    """
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                fs, path = pafs.FileSystem.from_uri(row["uri"] + NAMES)
+                n, first = len(row["ends"]), row["n_before"]
+                with fs.open_input_file(path) as f:
+                    f.seek(8 * first)
+                    names = f.read(8 * n)
+                    f.seek(8 * row["n_docs"] + first)
+                    valid = f.read(n)
+                ends = np.array(row["ends"], np.int64)
+                starts = np.concatenate(([row["open"]], ends))[:-1]
+                file = pa.array([row["uri"].rsplit("/", 1)[-1]] * n, pa.string())
+                yield pa.RecordBatch.from_arrays([_named(names, valid), pa.array(ends - starts), file, pa.array(np.arange(first, first + n)), pa.array(starts)], ["doc_id", "n_tokens", "file", "ordinal", "start"])
+
+    scanned = scan_flat(write_flat(docs, tokenizer, end_id), end_id).select("uri", "n_docs", "ends", "open", "n_before")
+    return common.mapped(scanned, named, "doc_id long, n_tokens long, file string, ordinal long, start long")

@@ -11,7 +11,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from quillon.llm import decontam, html, jaccard, packing, quality, queries, sufdedup, suffixes, tokenfiles, toxicity, urls
+from quillon.llm import decontam, encoding, html, jaccard, packing, quality, queries, sufdedup, suffixes, tokenfiles, toxicity, urls
 
 SF = "/root/testdata/sf0.001"
 BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -159,9 +159,60 @@ def test_token_files_and_packing(docs, odd, none):
     assert tokenfiles.token_counts(none, BPE, 49407).count() == 0
 
 
+def test_token_ids_of_odd_rows(spark):
+    """Nulls beside an id that no float holds, repeated ids and rows, special tokens in texts, clashing columns."""
+    large = 2**53 + 1
+    texts = [(None, "a b"), (large, "<|endoftext|> c"), (5, "x"), (5, "x"), (5, "x y"), (None, None), (2, "<|startoftext|>"), (-7, ""), (8, "a<|endoftext|>b")]
+    df = spark.createDataFrame([(i, t, 1, "u", 2) for i, t in texts], "doc_id long, text string, start long, uri string, width long").coalesce(1)
+    tok = Tokenizer.from_file(BPE)
+    tok.encode_special_tokens = True
+    got = tokenfiles.token_counts(df, BPE, 49407)
+    assert "Broadcast" not in got._jdf.queryExecution().toString() and "Join" not in got._jdf.queryExecution().toString()
+    got = sorted(rows(got), key=lambda r: r["ordinal"])
+    assert [(r["doc_id"], r["n_tokens"]) for r in got] == [(i, len(tok.encode(t or "", add_special_tokens=False).ids) + 1) for i, t in texts]
+    assert [r["start"] for r in got] == [sum(r["n_tokens"] for r in got[:k]) for k in range(len(got))]
+    tok.encode_special_tokens = False
+    want = sorted((-(2**63) if i is None else i, len(tok.encode(t or "", add_special_tokens=False).ids) + 1) for i, t in texts)
+    back = sorted(rows(tokenfiles.read_back(tokenfiles.write_pfor(df, BPE))), key=lambda r: r["start"])
+    assert sorted((-(2**63) if r["doc_id"] is None else r["doc_id"], r["n_tokens"]) for r in back) == want
+    assert [r["doc_id"] for r in back] == [None, None, -7, 2, 5, 5, 5, 8, large]
+    again = sorted(rows(tokenfiles.read_back(tokenfiles.write_pfor(df.repartition(5), BPE))), key=lambda r: r["start"])
+    assert back == again
+    packed = rows(packing.best_fit(df, BPE))
+    assert sorted((-(2**63) if r["doc_id"] is None else r["doc_id"], r["length"]) for r in packed) == want
+
+
+def test_encoder_is_the_library(docs, monkeypatch):
+    """Odd characters, long words, long texts and special tokens."""
+    monkeypatch.setattr(encoding, "BLOCK_BYTES", 100_000)
+    rng = np.random.default_rng(4)
+    parts = ["a", "B", "É", "ß", "÷", "×", "'", "'s", "'LL", " ", "  ", "\n", "\t", "\x0b", "\x1c", "\x85", "\u00a0", "1", "٣", "½", "e\u0301", "İ", "Σ", "日本", "🎉", "!!", "<|endoftext|>", "<|", "the", "Word", "\x00", "\u0301", "ff", "x" * 300, "Ÿ", "Þ", "12a3"]
+    texts = ["".join(rng.choice(parts, rng.integers(0, 25))) for _ in range(3000)] + [" ".join(r["text"] or "" for r in rows(docs)), "ab1" * 80_000]
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        for ordinary in (False, True):
+            tok = Tokenizer.from_file(public_tokenizers.path(name))
+            tok.encode_special_tokens = ordinary
+            enc = encoding.Encoder(public_tokenizers.path(name), ordinary)
+            want = [np.array(x.ids, enc.dtype).tobytes() for x in tok.encode_batch_fast(texts, add_special_tokens=False)]
+            assert enc.ids(texts) == want
+            assert [x for k in range(0, 500, 50) for x in enc.ids(texts[k : k + 50])] == want[:500]
+
+
+def test_encoder_forgets(docs, monkeypatch):
+    monkeypatch.setattr(encoding, "MOST_RUNS", 1 << 13)
+    monkeypatch.setattr(encoding, "BLOCK_BYTES", 20_000)
+    enc, tok = encoding.Encoder(BPE), Tokenizer.from_file(BPE)
+    texts = [r["text"] or "" for r in rows(docs)]
+    assert enc.ids(texts) == [np.array(x.ids, enc.dtype).tobytes() for x in tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+
 def test_scan_blocks(docs):
     files = tokenfiles.write_flat(docs, BPE, 49407)
-    assert sorted(map(tuple, tokenfiles.scan_flat(files, 49407, block=97).collect())) == sorted(map(tuple, tokenfiles.scan_flat(files, 49407).collect()))
+
+    def ends(block):
+        return sorted((r["uri"], r["n_before"] + k, e) for r in rows(tokenfiles.scan_flat(files, 49407, block)) for k, e in enumerate(r["ends"]))
+
+    assert ends(97) == ends(1 << 20)
 
 
 def test_pfor_blocks():
