@@ -7,6 +7,8 @@ windows of one gram form a unit; a text of n bytes has about 2 n / (MATCH - GRAM
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 
 from quillon.llm import common
@@ -15,30 +17,48 @@ MATCH = 50
 GRAM = 16
 REACH = MATCH - GRAM + 1  # grams in a window, so windows of a unit at most
 
-#: Bytes of text worked on at once, about: the arrays made on the way are some sixty times as large.
-BLOCK = 1_000_000
+#: A window holds its anchor and MATCH - GRAM bytes more: half of them or more on one side.
+SIDE = (MATCH - GRAM + 1) // 2
+
+#: Bytes of text worked on at once, about: the arrays made on the way are some hundred times as large.
+BLOCK = 150_000
 _PLACE = np.uint64((1 << 32) - 1)
 
 
-def units(data: np.ndarray, bounds: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For texts data[bounds[i]:bounds[i + 1]]: text, first window, last window, gram hash and gram place of each unit.
+class Units(NamedTuple):
+    """text, first window, last window and anchor of each unit; hashes of the anchor, of the unit, and of
+    SIDE bytes left and right of the anchor with it (0 where no window of the unit holds as much)."""
+
+    row: np.ndarray
+    first: np.ndarray
+    last: np.ndarray
+    place: np.ndarray
+    gram: np.ndarray
+    hash: np.ndarray
+    left: np.ndarray
+    right: np.ndarray
+
+
+def units(data: np.ndarray, bounds: np.ndarray, block: int = BLOCK) -> Units:
+    """The units of texts data[bounds[i]:bounds[i + 1]].
 
     Texts are taken in runs of about block bytes (one text at least, which is under 4 GB).
     """
     found, start = [], 0
     while not found or start < len(bounds) - 1:
         end = max(start + 1, int(np.searchsorted(bounds, bounds[start] + block, "right")) - 1)
-        row, first, last, gram, place = _units(data[bounds[start] : bounds[min(end, len(bounds) - 1)]], bounds[start : end + 1] - bounds[start])
-        found.append((row + start, first + bounds[start], last + bounds[start], gram, place + bounds[start]))
+        a = bounds[start]
+        some = _units(data[a : bounds[min(end, len(bounds) - 1)]], bounds[start : end + 1] - a)
+        found.append(some._replace(row=some.row + start, first=some.first + a, last=some.last + a, place=some.place + a))
         start = end
-    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+    return Units(*(np.concatenate(x) for x in zip(*found, strict=True)))
 
 
-def _units(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    none = np.zeros(0, np.int64)
+def _units(data: np.ndarray, bounds: np.ndarray) -> Units:
     n = len(data)
+    none = Units(*(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, np.uint64, np.uint64, np.uint64, np.uint64)))
     if n < MATCH:
-        return none, none, none, np.zeros(0, np.uint64), none
+        return none
     padded = np.concatenate((data, np.zeros(8, np.uint8)))
     eights = np.ndarray((n + 1,), "<u8", padded, strides=(1,))
     h = np.zeros(n - GRAM + 1, np.uint64)
@@ -56,26 +76,38 @@ def _units(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray
         span *= 2
     if span < REACH:
         low = np.minimum(low[: len(low) - (REACH - span)], low[REACH - span :])
-    place = (low & _PLACE).astype(np.int64)  # of the gram of each window
-    size = np.diff(bounds)
-    row = np.repeat(np.arange(len(size)), size)
-    valid = np.flatnonzero(row[: len(place)] == row[MATCH - 1 : MATCH - 1 + len(place)])
-    if not len(valid):
-        return none, none, none, np.zeros(0, np.uint64), none
-    own = place[valid]
-    begins = np.flatnonzero(np.concatenate(([True], (own[1:] != own[:-1]) | (row[valid[1:]] != row[valid[:-1]]))))
-    last = np.append(begins[1:], len(valid)) - 1
-    return row[valid[begins]], valid[begins], valid[last], h[own[begins]], own[begins]
-
-
-def span_hashes(data: np.ndarray, start: np.ndarray, size: np.ndarray, seed: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the bytes data[start : start + size], with a seed each."""
-    padded = np.concatenate((data, np.zeros(8, np.uint8)))
-    eights = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
-    h = common.mix64(seed.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
-    for k in range(0, int(size.max()) if len(size) else 0, 8):
-        live = np.flatnonzero(size > k)
-        left = np.minimum(size[live] - k, 8).astype(np.uint64)
-        word = eights[start[live] + k] & np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - left * np.uint64(8))
-        h[live] = common.mix64((h[live] ^ word) * np.uint64(0x9FB21C651E98DF25))
-    return h
+    own = (low & _PLACE).astype(np.int32)  # the place of the gram of each window
+    begins = np.concatenate(([True], own[1:] != own[:-1]))
+    # windows that cross the end of a text are none, and a text's first window begins a unit
+    begins[bounds[:-1][bounds[:-1] < len(own)]] = True
+    crosses = np.zeros(n + 1, np.int8)
+    ends = np.maximum(bounds[1:] - MATCH + 1, bounds[:-1])
+    np.add.at(crosses, ends, 1)
+    np.add.at(crosses, bounds[1:], -1)
+    valid = np.cumsum(crosses[: len(own)], dtype=np.int8) == 0
+    first = np.flatnonzero(begins & valid)
+    if not len(first):
+        return none
+    stop = np.concatenate((begins[1:] | ~valid[1:], [True]))
+    last = np.flatnonzero(stop & valid)
+    place = own[first].astype(np.int64)
+    # sums of the gram hashes and of these times their places give each span a hash that knows the order
+    at = np.arange(len(h), dtype=np.uint64)
+    total, moment = np.zeros(len(h) + 1, np.uint64), np.zeros(len(h) + 1, np.uint64)
+    np.cumsum(h, out=total[1:])
+    np.cumsum(h * at, out=moment[1:])
+
+    def hashes(start: np.ndarray, size: np.ndarray, seed: np.ndarray) -> np.ndarray:
+        upto = start + size - GRAM + 1
+        s = total[upto] - total[start]
+        m = moment[upto] - moment[start] - s * start.astype(np.uint64)
+        return common.mix64(common.mix64(s + np.uint64(0x9E3779B97F4A7C15)) ^ m + common.mix64(np.uint64(1) + seed.astype(np.uint64)))
+
+    size = last + MATCH - first
+    sides = []
+    for have, start in ((place - first >= SIDE, place - SIDE), (last + MATCH - place - GRAM >= SIDE, place)):
+        side = np.zeros(len(first), np.uint64)
+        side[have] = hashes(start[have], np.array([GRAM + SIDE]), np.array([1])) | np.uint64(1)
+        sides.append(side)
+    row = np.searchsorted(bounds, first, "right") - 1
+    return Units(row, first, last, place, h[place], hashes(first, size, size * 64 + place - first), *sides)

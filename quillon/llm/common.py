@@ -61,12 +61,21 @@ def mapped(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.R
         conf.set(ROWS_SETTING, str(BATCH_ROWS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold()
         yield from fn(batches)
         trim()
 
     return df.mapInArrow(run, schema)
 
 
+def hold() -> None:
+    """Let a worker's allocator keep freed arrays until trim(): fetching their pages anew costs more than most numpy work on them."""
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "mallopt"):  # glibc
+        libc.mallopt(-3, 32 << 20)  # M_MMAP_THRESHOLD
+        libc.mallopt(-1, 64 << 20)  # M_TRIM_THRESHOLD
+
+
 def trim() -> None:
     """Give the system back what a worker's allocators hold unused: Spark keeps the worker for later tasks."""
     pa.default_memory_pool().release_unused()
@@ -83,7 +92,13 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column as one array, and the n + 1 bounds of its rows; null is empty."""
     if column.null_count:
         column = column.fill_null("")
-    column = column.cast(pa.large_string())
+    return binary_bytes(column.cast(pa.large_string()))
+
+
+def binary_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The same of a binary column without nulls."""
+    if column.type == pa.binary():
+        column = column.cast(pa.large_binary())
     _, offsets, data = column.buffers()
     bounds = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
     if data is None or not len(column):

@@ -37,15 +37,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm import anchors, common
-from quillon.llm.suffixes import equal_starts
+from quillon.llm.suffixes import equal_windows
 
-MATCH, GRAM, REACH = anchors.MATCH, anchors.GRAM, anchors.REACH
+MATCH, SIDE = anchors.MATCH, anchors.SIDE
 #: Bytes of text in a chunk, about (a longer document is a chunk of its own), and documents at most.
 CHUNK_BYTES, CHUNK_DOCS = 4_000_000, 60_000
-#: Rows of a context group that one task sorts.
+#: Rows of a context group that one task sorts, and bytes of rows whose groups are sorted together, about.
 GROUP = 256
-#: A window holds its anchor and MATCH - GRAM bytes more: half of them or more on one side.
-SIDE = (MATCH - GRAM + 1) // 2
+SORTED_BYTES = 3_000_000
 LAST = np.iinfo(np.int64).max
 
 
@@ -91,26 +90,12 @@ class Chunk:
         self.table = pq.read_table(path, filesystem=fs).combine_chunks()
         self.data, self.bounds = common.text_bytes(_one(self.table.column("text")))
         ids = _one(self.table.column("doc_id")).cast(pa.int64()).fill_null(LAST)
-        self.row, self.first, self.last, self.gram, self.place = anchors.units(self.data, self.bounds)
-        self.doc = ids.to_numpy()[self.row]
-        size = self.last + MATCH - self.first
-        self.hash = anchors.span_hashes(self.data, self.first, size, size * 64 + self.place - self.first)
-        self.unit, self.example, self.slot = np.unique(self.hash, return_index=True, return_inverse=True)
+        self.units = anchors.units(self.data, self.bounds)
+        self.doc = ids.to_numpy()[self.units.row]
+        self.unit, self.example, self.slot = np.unique(self.units.hash, return_index=True, return_inverse=True)
         self.least = np.full(len(self.unit), LAST, np.int64)
         np.minimum.at(self.least, self.slot, self.doc)
 
-    def sides(self, units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of the context left and right of these units' anchors; 0 where no window of theirs holds as much."""
-        first, last, place = self.first[units], self.last[units], self.place[units]
-        left, right = place - first >= SIDE, last + MATCH - place - GRAM >= SIDE
-        out = []
-        for have, start in ((left, place - SIDE), (right, place)):
-            h = np.zeros(len(units), np.uint64)
-            own = np.flatnonzero(have)
-            h[own] = anchors.span_hashes(self.data, start[own], np.full(len(own), GRAM + SIDE), np.full(len(own), 1)) | np.uint64(1)
-            out.append(h)
-        return out[0], out[1]
-
 
 def _one(column: pa.ChunkedArray) -> pa.Array:
     return column.combine_chunks() if column.num_chunks != 1 else column.chunk(0)
@@ -129,8 +114,8 @@ def _meet(chunks: DataFrame, buckets: int) -> DataFrame:
                 c = Chunk(uri)
                 if not len(c.unit):
                     continue
-                left, right = c.sides(c.example)
-                bucket = (c.gram[c.example] % np.uint64(buckets)).astype(np.int64)
+                left, right = c.units.left[c.example], c.units.right[c.example]
+                bucket = (c.units.gram[c.example] % np.uint64(buckets)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
                 cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
                 for b in np.flatnonzero(np.diff(cut)).tolist():
@@ -204,8 +189,8 @@ def _contexts(chunks: DataFrame, met: DataFrame) -> DataFrame:
                 slots = np.frombuffer(b"".join(x["open"]), "<u4").astype(np.int64)
                 units = c.example[slots]
                 text = c.data.tobytes()
-                first, last, place, doc = c.first[units], c.last[units], c.place[units], c.least[slots]
-                for side, hashes in enumerate(c.sides(units)):
+                first, last, place, doc = c.units.first[units], c.units.last[units], c.units.place[units], c.least[slots]
+                for side, hashes in enumerate((c.units.left[units], c.units.right[units])):
                     # windows with SIDE bytes or more left of the anchor end by GRAM + SIDE bytes from it; the others begin after that
                     start = first if side == 0 else np.maximum(first, place - SIDE + 1)
                     end = np.minimum(last + MATCH, place + MATCH - SIDE) if side == 0 else last + MATCH
@@ -225,47 +210,42 @@ def _contexts(chunks: DataFrame, met: DataFrame) -> DataFrame:
 def _by_suffixes(rows: DataFrame) -> DataFrame:
     """k, slot, mask: the windows of each open unit that a smaller document of its context group has."""
 
-    def solve(key_rows: list[tuple[bytes, int, int, int, int]]) -> Iterator[tuple[int, int, int]]:
-        strings = list({s for s, *_ in key_rows})
-        if len(strings) < 2:
-            s = strings[0]
-            least = min(doc for _, doc, *_ in key_rows)
-            found = {s: {i: least for i in range(len(s) - MATCH + 1)}}
-        else:
-            number = {s: n for n, s in enumerate(strings)}
-            own = [LAST] * len(strings)
-            for s, doc, *_ in key_rows:
-                own[number[s]] = min(own[number[s]], doc)
-            windows = [{i: own[n] for i in range(len(s) - MATCH + 1)} for n, s in enumerate(strings)]
-            for places in equal_starts(strings, MATCH):
-                least = min(own[n] for n, _ in places)
-                for n, i in places:
-                    windows[n][i] = least
-            found = dict(zip(strings, windows, strict=True))
-        for s, doc, k, slot, shift in key_rows:
-            mask = sum(1 << i + shift for i, least in found[s].items() if least < doc)
-            if mask:
-                yield k, slot, mask
+    def solve(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(held)
+        key = t.column("key").to_numpy()
+        group = np.cumsum(np.concatenate(([False], key[1:] != key[:-1])))
+        more = np.flatnonzero(np.bincount(group)[group] > 1)
+        t, group = t.take(pa.array(more)), group[more]
+        doc, k, slot, shift = (t.column(x).to_numpy() for x in ("doc", "k", "slot", "shift"))
+        data, bounds = common.binary_bytes(_one(t.column("s")))
+        mask = np.zeros(len(doc), np.int64)
+        place, number = equal_windows(data, bounds, group, MATCH)
+        if len(place):
+            row = np.searchsorted(bounds, place, "right") - 1
+            heads = np.flatnonzero(np.concatenate(([True], number[1:] != number[:-1])))
+            least = np.repeat(np.minimum.reduceat(doc[row], heads), np.diff(np.append(heads, len(place))))
+            hit = doc[row] > least
+            np.bitwise_or.at(mask, row[hit], np.int64(1) << (shift[row] + place - bounds[row])[hit])
+        own = mask != 0
+        return _arrays({"k": (k[own], pa.int64()), "slot": (slot[own], pa.int32()), "mask": (mask[own], pa.int64())})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held, out = None, [], []
+        held, size = [], 0
         for batch in batches:
-            for row in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
-                if row[0] != key:
-                    if len(held) > 1:
-                        out += solve(held)
-                    key, held = row[0], []
-                held.append(row[1:])
-            if len(out) > 10_000:
-                yield _masks(out)
-                out = []
-        if len(held) > 1:
-            out += solve(held)
-        yield _masks(out)
-
-    def _masks(out: list[tuple[int, int, int]]) -> pa.RecordBatch:
-        k, slot, mask = zip(*out, strict=True) if out else ((), (), ())
-        return _arrays({"k": (list(k), pa.int64()), "slot": (list(slot), pa.int32()), "mask": (list(mask), pa.int64())})
+            if size >= SORTED_BYTES:  # up to the last key, of which more may come
+                key = batch.column(0).to_numpy()
+                same = int(np.searchsorted(key, held[-1].column(0)[-1].as_py(), "right"))
+                held.append(batch.slice(0, same))
+                if same < len(batch):
+                    yield solve(held)
+                    held, size, batch = [], 0, batch.slice(same)
+                else:
+                    continue
+            if len(batch):
+                held.append(batch)
+                size += batch.nbytes
+        if held:
+            yield solve(held)
 
     dealt = rows.select("key", "s", "doc", "k", "slot", "shift").repartition(4 * common.shuffle_parts(rows.sparkSession), "key").sortWithinPartitions("key")
     return common.mapped(dealt, run, "k long, slot int, mask long")
@@ -286,14 +266,14 @@ def spans(chunk: Chunk, dropped: np.ndarray, masks: dict[int, int]) -> np.ndarra
     # a unit that a smaller document of the chunk has, or of another chunk
     gone = (chunk.doc > chunk.least[chunk.slot]) | whole[chunk.slot]
     step = np.zeros(len(chunk.data) + 1, np.int64)
-    np.add.at(step, chunk.first[gone], 1)
-    np.add.at(step, chunk.last[gone] + MATCH, -1)
+    np.add.at(step, chunk.units.first[gone], 1)
+    np.add.at(step, chunk.units.last[gone] + MATCH, -1)
     if masks:
         marked = np.zeros(len(chunk.unit), bool)
         marked[list(masks)] = True
         for u in np.flatnonzero(marked[chunk.slot] & ~gone).tolist():
-            mask, first = masks[int(chunk.slot[u])], int(chunk.first[u])
-            for i in range(int(chunk.last[u]) - first + 1):
+            mask, first = masks[int(chunk.slot[u])], int(chunk.units.first[u])
+            for i in range(int(chunk.units.last[u]) - first + 1):
                 if mask >> i & 1:
                     step[first + i] += 1
                     step[first + i + MATCH] -= 1
