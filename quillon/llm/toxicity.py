@@ -4,12 +4,15 @@ Features are the 3-, 5- and 8-grams of the lower-cased text's characters (with a
 each present or not, hashed to 2**BITS buckets: a word made of common syllables shows in long n-grams
 only, and in those that cross its start. For each bucket the log ratio of the shares of toxic and
 other training texts that hold it scales the feature; a logistic regression with an L2 penalty learns
-the rest. Used are at most KEEP_FEATURES buckets, those whose shares differ most in standard errors.
+the rest, in which a row of the rarer label weighs as much more as the root of how much rarer it is. Used
+are at most KEEP_FEATURES buckets, those whose shares differ most in standard errors.
 
 Only labels.toxic is learnt from, on at most MAX_TRAIN labelled rows (drawn by a hash of doc_id), and
 only rows that `train_on` lets through. A null text is empty and gets a score too. Labels that are null
 or have no document are left out; of several labels of a document the highest counts. If all training
-labels are alike (or there are none), every score is the smoothed share of toxic ones.
+labels are alike (or there are none), every score is the smoothed share of toxic ones. Null and repeated
+doc_ids and repeated rows keep a row each (no null doc_id has a label). An empty table gives no rows.
+Other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -27,8 +30,8 @@ SIZES = (3, 5, 8)  # chosen by cross-validation within the training rows
 BITS = 22
 MAX_TRAIN = 8_000
 KEEP_FEATURES = 30_000
-LEAST_DOCS = 5
-LEAST_ERRORS = 4.0
+LEAST_DOCS = 3
+LEAST_ERRORS = 5.0
 ROUNDS = 100
 PENALTY = 1.0
 
@@ -90,11 +93,11 @@ def fit(rows, least: int = LEAST_DOCS) -> Model:
         y.append(label)
     column, y = np.concatenate(column), np.array(y, float)
     order = np.repeat(np.arange(len(y)), size)
-    scale = ratio[used]
+    scale, heavier = ratio[used], np.where(y > 0, np.sqrt(n[0] / n[1]), 1.0)
     w, bias, first, second = np.zeros(len(used)), float(np.log(n[1] / n[0])), np.zeros(len(used)), np.zeros(len(used))
     for t in range(1, ROUNDS + 1):  # Adam on the whole sample
         z = np.bincount(order, (scale * w)[column], len(y)) + bias
-        error = 1 / (1 + np.exp(-np.clip(z, -500, 500))) - y
+        error = heavier * (1 / (1 + np.exp(-np.clip(z, -500, 500))) - y)
         slope = scale * np.bincount(column, error[order], len(used)) / len(y) + PENALTY * w / len(y)
         first, second = 0.9 * first + 0.1 * slope, 0.99 * second + 0.01 * slope * slope
         w -= 0.05 * first / (1 - 0.9**t) / (np.sqrt(second / (1 - 0.99**t)) + 1e-8)
