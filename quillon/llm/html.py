@@ -9,8 +9,10 @@ running text, and inside an <article> or <main> paragraphs, headings, list items
 cells that hold more than links, for these may well repeat each other.
 
 Text: character references decoded, white space inside a block turned into one space, trimmed, blocks
-joined in page order by a line feed. A null or empty page gives an empty string. Repeated page_ids keep
-a row each; exact copies of a page count once in the search for templates; a null url is the host "".
+joined in page order by a line feed. A null or empty page gives an empty string. Null and repeated
+page_ids and repeated rows keep a row each; exact copies of a page count once in the search for
+templates; a null url is the host "". An empty table gives no rows. Other columns, whatever their names,
+are ignored.
 """
 
 from __future__ import annotations
@@ -56,6 +58,8 @@ MARKS = frozenset(
     "notification popup modal overlay newsletter subscribe subscription signup share sharing social related recommended recommendations comment comments commentlist replies disqus respond widget toolbar "
     "pagination pager contentinfo complementary search login".split()
 )
+# Those of them that mark running text, too.
+MARKS_OF_PROSE = frozenset("ad ads adv advert advertisement advertising sponsor sponsored promo promotion cookie cookies consent notice newsletter share sharing comment comments replies".split())
 _WORDS = re.compile("[a-z0-9]+")
 _HOST = re.compile(r"(?s)^.*?://([^/?#]*)")
 
@@ -72,14 +76,15 @@ class _Builder(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Node("#root", {})
         self.open = [self.root]
+        self.at: dict[str, list[int]] = {}  # where in the open elements each tag stands
 
     def _close(self, tags: tuple[str, ...], within: tuple[str, ...] = ()) -> None:
-        for k in range(len(self.open) - 1, 0, -1):
-            if self.open[k].tag in tags:
-                del self.open[k:]
-                return
-            if self.open[k].tag in within:
-                return
+        """End the innermost open element of these tags, unless one of `within` was opened after it."""
+        last, bound = (max((self.at[t][-1] for t in names if self.at.get(t)), default=0) for names in (tags, within))
+        if last > bound:
+            for x in reversed(self.open[last:]):
+                self.at[x.tag].pop()
+            del self.open[last:]
 
     def handle_starttag(self, tag, attrs):
         if tag in ENDS_P:
@@ -87,11 +92,12 @@ class _Builder(HTMLParser):
         if tag in ENDS:
             names, within = ENDS[tag]
             self._close(tuple(names.split()), within)
-        if tag in ("html", "body") and any(x.tag == tag for x in self.open):
+        if tag in ("html", "body") and self.at.get(tag):
             return
         node = Node(tag, {k: v or "" for k, v in attrs})
         self.open[-1].children.append(node)
         if tag not in VOID:
+            self.at.setdefault(tag, []).append(len(self.open))
             self.open.append(node)
 
     def handle_startendtag(self, tag, attrs):
@@ -130,6 +136,14 @@ def _marked(node: Node) -> bool:
     return not MARKS.isdisjoint(words)
 
 
+def _marked_within(node: Node) -> bool:
+    """The same inside an article, where a word of an id or of running text's class may well be the article's own."""
+    tokens = " ".join((node.attrs.get("class", ""), node.attrs.get("role", ""), node.attrs.get("id", ""))).lower().split()
+    if node.tag in PROSE or node.tag not in BLOCKS | DROPPED:
+        return not MARKS_OF_PROSE.isdisjoint(tokens)
+    return not MARKS.isdisjoint([*tokens, *_WORDS.findall(node.attrs.get("class", "").lower())])
+
+
 def _article(node: Node) -> bool:
     return _is_root(node) and not _marked(node)
 
@@ -171,11 +185,11 @@ def prune(root: Node) -> list[Node]:
         within = up is not None and (id(up) in inside or id(up) in holds and _is_root(up))
         if within:
             inside.add(id(x))
-        if up is not None and id(up) in dropped or id(x) not in holds and x.tag not in ("html", "body", "#root") and _marked(x):
+        if up is not None and id(up) in dropped or id(x) not in holds and x.tag not in ("html", "body", "#root") and (_marked_within if within else _marked)(x):
             dropped.add(id(x))
         elif x.tag == "header" and id(x) not in holds:
             if within:  # an article's own head: its headings stay
-                x.children = [h for h in _elements(x) if h.tag in HEADINGS and id(h) not in dropped]
+                x.children = _headings(x, dropped)
             else:
                 dropped.add(id(x))
     tops: list[Node] = []
@@ -189,6 +203,19 @@ def prune(root: Node) -> list[Node]:
     return tops or [root]
 
 
+def _headings(node: Node, dropped: set[int]) -> list[Node]:
+    """The outermost headings below node."""
+    found, todo = [], list(reversed(node.children))
+    while todo:
+        x = todo.pop()
+        if isinstance(x, Node) and id(x) not in dropped:
+            if x.tag in HEADINGS:
+                found.append(x)
+            else:
+                todo += reversed(x.children)
+    return found
+
+
 def blocks(node: Node) -> list[str]:
     """The texts of the blocks below node."""
     out: list[str] = []
@@ -306,17 +333,17 @@ def extract(pages: DataFrame) -> DataFrame:
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, hosts, found, seen = [], [], [], []
-            for page_id, url, html in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            hosts, found, seen = [], [], []
+            for url, html in zip(*(batch.column(k).to_pylist() for k in range(1, 3)), strict=True):
                 host = host_of(url)
-                ids.append(page_id)
                 hosts.append(host)
                 found.append(sorted(set(subtrees(parse(html or ""), host).values())))
                 seen.append(int.from_bytes(hashlib.blake2b((html or "").encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hosts, pa.string()), pa.array(seen, pa.int64()), pa.array(found, pa.list_(pa.int64()))], ["page_id", "host", "page", "subtrees"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hosts, pa.string()), pa.array(seen, pa.int64()), pa.array(found, pa.list_(pa.int64()))], ["row", "host", "page", "subtrees"])
 
-    own = pages.select("page_id", "url", "html")
-    marked = common.stored(common.mapped(own, hashed, "page_id long, host string, page long, subtrees array<long>"))
+    # rows are told apart by a hash: page_ids may be null or repeated; rows equal in all three have the same templates
+    own = pages.select(F.xxhash64("page_id", F.col("page_id").isNull(), "url", "html").alias("row"), "page_id", "url", "html")
+    marked = common.stored(common.mapped(own.select("row", "url", "html"), hashed, "row long, host string, page long, subtrees array<long>"))
     # how many different pages of its host hold a subtree, against all of the host's different pages
     distinct = marked.select("host", "page").distinct()
     totals = distinct.groupBy(F.xxhash64("host").alias("on")).agg(F.count("*").alias("total"))
@@ -326,19 +353,17 @@ def extract(pages: DataFrame) -> DataFrame:
     many = F.col("n") >= F.when(strict, MIN_PAGES_STRICT).otherwise(MIN_PAGES)
     nearly_all = (F.col("n") >= F.when(strict, MIN_PAGES_SMALL_STRICT).otherwise(MIN_PAGES_SMALL)) & (F.col("n") >= NEARLY_ALL * F.col("total"))
     templates = counts.join(totals.hint("shuffle_hash"), "on").where(many | nearly_all).select("subtree")
-    hits = common.stored(marked.select("page_id", F.explode("subtrees").alias("subtree")).join(templates.hint("shuffle_hash"), "subtree").groupBy("page_id").agg(F.collect_set("subtree").alias("templates")))
+    hits = common.stored(marked.select("row", F.explode("subtrees").alias("subtree")).join(templates.hint("shuffle_hash"), "subtree").groupBy("row").agg(F.collect_set("subtree").alias("templates")))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, urls, texts = [], [], []
-            for page_id, url, html, templates in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+            texts = []
+            for url, html, templates in zip(*(batch.column(k).to_pylist() for k in range(1, 4)), strict=True):
                 root = parse(html or "")
                 if templates:
                     remove(root, subtrees(root, host_of(url)), frozenset(templates))
-                ids.append(page_id)
-                urls.append(url)
                 texts.append("\n".join(b for x in prune(root) for b in blocks(x)))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(urls, pa.string()), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    joined = own.join(hits, "page_id", "left").select("page_id", "url", "html", "templates")
+    joined = own.join(hits, "row", "left").select("page_id", "url", "html", "templates")
     return common.mapped(joined, cut, "page_id long, url string, text string, n_chars long")

@@ -124,6 +124,33 @@ def test_suffix_array():
         assert suffixes.suffix_array(s) == sorted(range(n + 1), key=lambda i: s[i:])
 
 
+def test_suffix_arrays_of_many():
+    rng = np.random.default_rng(6)
+    for n in range(100):
+        texts = sorted((bytes(rng.integers(0, 1 + n % 5, rng.integers(0, 40)).astype(np.uint8)) for _ in range(rng.integers(1, 12))), key=len, reverse=True)
+        bounds = np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts])))
+        symbols = np.concatenate([[*(c + 1 for c in t), 0] for t in texts])
+        out = suffixes.suffix_arrays(symbols, bounds)
+        for t, a, b in zip(texts, bounds[:-1], bounds[1:], strict=True):
+            assert (out[a:b] - a).tolist() == sorted(range(len(t) + 1), key=lambda i: t[i:])
+
+
+def test_equal_windows(monkeypatch):
+    rng = np.random.default_rng(7)
+    for together in (1, 4, 1000):
+        monkeypatch.setattr(suffixes, "TOGETHER", together)
+        texts = [bytes(rng.integers(0, 2, rng.integers(0, 60)).astype(np.uint8)) for _ in range(300)]
+        group = np.sort(rng.integers(0, 60, 300))
+        bounds = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
+        want, got = collections.defaultdict(list), collections.defaultdict(list)
+        for t, g, a in zip(texts, group.tolist(), bounds.tolist(), strict=False):
+            for i in range(len(t) - 10):
+                want[g, t[i : i + 11]].append(a + i)
+        for place, number in zip(*(x.tolist() for x in suffixes.equal_windows(np.frombuffer(b"".join(texts), np.uint8), bounds, group, 11)), strict=True):
+            got[number].append(place)
+        assert sorted(map(sorted, got.values())) == sorted(sorted(x) for x in want.values() if len(x) > 1)
+
+
 def check_tokens(df):
     tok = Tokenizer.from_file(BPE)
     ids = {r["doc_id"]: tok.encode(r["text"] or "", add_special_tokens=False).ids for r in rows(df)}
@@ -330,6 +357,46 @@ def test_html_articles_stay(spark):
     assert (got[2], got[3], got[10], got[20]) == ("In a form", "Text", "Own 0", "Read the other one")
 
 
+def test_html_odd_pages(spark):
+    frame = '<div><ul><li><a href="/">Frame</a></li></ul></div>'
+    pages = [(None, "http://n.x/", f"{frame}<div><p>Own {i}</p></div>") for i in range(6)] + [(7, None, None), (7, None, None), (8, "u", "")]
+    pages += [(20, "http://a.x/", "<article><header><h1>A<h2>B</h2></header><p>x<aside>y</aside></article>"), (21, "http://b.x/", '<article><p class="related work">Related work</p><section id="search-methods"><h2>Search</h2></section><div class="ad">Buy</div><p class="advert">Now</p><div class="post-comments">C</div></article>')]
+    deep = "<b>" * 60_000 + "text" + "</foo>" * 60_000  # quadratic work on this would take hours
+    pages += [(30, "http://c.x/", deep), (31, "http://d.x/", "<article>" + "<span>" * 20_000 + "w" + "</b>" * 20_000)]
+    df = spark.createDataFrame([(i, u, h, "t", 1, "s") for i, u, h in pages], "page_id long, url string, html string, templates string, row long, subtree string")
+    got = collections.defaultdict(list)
+    for r in rows(html.extract(df)):
+        got[r["page_id"]].append(r["text"])
+        assert r["n_chars"] == len(r["text"])
+    assert sorted(got[None]) == [f"Own {i}" for i in range(6)]
+    assert (got[7], got[8], got[20], got[30], got[31]) == (["", ""], [""], ["A\nB\nx"], ["text"], ["w"])
+    assert got[21] == ["Related work\nSearch"]
+    assert html.extract(df.where("false")).count() == 0
+
+
+def test_html_counts_by_brute_force(spark):
+    """The subtrees of given pages that recur, counted in plain Python, are those that extract() deletes."""
+    pages = rows(spark.read.parquet(f"{SF}/pages.parquet"))
+    marks = {r["page_id"]: (html.host_of(r["url"]), set(html.subtrees(html.parse(r["html"] or ""), html.host_of(r["url"])).values())) for r in pages}
+    held, total = collections.defaultdict(set), collections.defaultdict(set)
+    for r in pages:
+        host, own = marks[r["page_id"]]
+        total[host].add(r["html"])
+        for m in own:
+            held[host, m].add(r["html"])
+    templates = set()
+    for (host, m), own in held.items():
+        most, few = (html.MIN_PAGES_STRICT, html.MIN_PAGES_SMALL_STRICT) if m & 1 else (html.MIN_PAGES, html.MIN_PAGES_SMALL)
+        if len(own) >= most or len(own) >= max(few, html.NEARLY_ALL * len(total[host])):
+            templates.add(m)
+    want = {}
+    for r in pages:
+        root = html.parse(r["html"] or "")
+        html.remove(root, html.subtrees(root, marks[r["page_id"]][0]), frozenset(templates))
+        want[r["page_id"]] = "\n".join(b for x in html.prune(root) for b in html.blocks(x))
+    assert {r["page_id"]: r["text"] for r in rows(html.extract(spark.read.parquet(f"{SF}/pages.parquet")))} == want
+
+
 def test_urls(spark):
     data = [(1, "http://A.Example.NET/en/1?q"), (2, "http://x.net"), (3, "ftp://b.net/x#y"), (4, None), (5, "no scheme"), (6, "http://www.casino-win.example.com/en/"), (7, "http://casino-win.example.com/de/1"), (8, "http://q.org/fr/"), (8, "http://q.org/fr/"), (9, "http://badcasino-win.example.com/"), (10, "http://www.casino-win.example.com:80")]
     listed = spark.createDataFrame([("http://Casino-Win.example.com",), (None,), ("q.org/sub/",)], "entry string")
@@ -348,6 +415,35 @@ def test_urls_deep_entries(spark):
     assert {r["verdict"] for r in rows(urls.judge(pages, listed.where("false"), []))} == {"allow"}
 
 
+def test_urls_listed_pages(spark):
+    entries = ["http://x.com/a/b.html", "https://User@Y.com.:8080/p?q=1", "z.com", "w.com/d/", None, "?", "http://x.com/a/b.html"]
+    data = [(1, "http://x.com/a/b.html"), (2, "https://www.x.com/a/b.html?x#y"), (3, "http://x.com/a/b.htm"), (4, "http://x.com/a/"), (5, "http://y.com/p/"), (6, "http://y.com/p/q"), (7, "http://y.com/pq"), (8, "http://me@z.com.:80"),
+            (9, "http://z.com/any"), (10, "http://w.com/d"), (11, "http://w.com/d/"), (12, "http://w.com/d/e"), (13, "http://notz.com/"), (None, "http://z.com"), (1, "http://x.com/a/b.html"), (14, "http://com/"), (15, "http:///p")]
+    pages = spark.createDataFrame([(i, u, "k", 1, True) for i, u in data], "page_id long, url string, key string, block long, hit boolean")
+    listed = spark.createDataFrame([(e, "x") for e in entries], "entry string, key string")
+    want = sorted(map(str, [1, 1, 2, 5, 6, 8, 9, 11, 12, None]))
+
+    def blocked():
+        return sorted(str(r["page_id"]) for r in rows(urls.judge(pages, listed, [])) if r["verdict"] == "block")
+
+    assert blocked() == want and urls.judge(pages, listed, []).count() == len(data)
+    assert urls.judge(pages.where("false"), listed, queries.RULES).count() == 0
+    most, urls.MOST_BROADCAST = urls.MOST_BROADCAST, 0
+    try:  # nothing small enough to broadcast
+        assert blocked() == want
+    finally:
+        urls.MOST_BROADCAST = most
+
+
+def test_urls_oracle(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from read_parquet('{SF}/pages.parquet')")
+    got = sorted(tuple(r) for r in queries.op7_url_filters(spark, SF).select("page_id", "host", "path", "rule", "verdict").collect())
+    assert got == sorted(con.execute(queries.ORACLE_SQL["op7_url_filters"]).fetchall())
+
+
 def test_toxicity(spark, docs, odd, none):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     got = rows(toxicity.classify(docs, labels))
@@ -363,7 +459,8 @@ def test_toxicity_held_out(spark):
     found = toxicity.classify(spark.read.parquet(f"{big}/documents.parquet"), labels).where("held_out").join(labels, "doc_id")
     n = {(r["toxic"], r["predicted"]): r["count"] for r in rows(found.groupBy("toxic", "predicted").count())}
     # some 2,600 training rows, a tenth of them toxic; larger tables give MAX_TRAIN rows and a better model
-    assert n[1, 1] > 0.7 * (n[1, 1] + n.get((1, 0), 0)) and n.get((0, 1), 0) < 0.01 * n[0, 0]
+    print(n)
+    assert n[1, 1] > 0.8 * (n[1, 1] + n.get((1, 0), 0)) and n.get((0, 1), 0) < 0.01 * n[0, 0]
 
 
 def test_pipeline(spark):
