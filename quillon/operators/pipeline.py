@@ -37,7 +37,30 @@ def value(expr: object) -> Column:
     return F.col(expr[1:]) if isinstance(expr, str) and expr.startswith("$") else F.lit(expr)
 
 
-AGGREGATES = {"$sum": lambda v: F.sum(value(v).cast("double")), "$avg": lambda v: F.avg(value(v)), "$min": lambda v: F.min(value(v)), "$max": lambda v: F.max(value(v)), "$count": lambda v: F.count(F.lit(1))}
+def number(expr: object) -> Column:
+    """What $sum adds: values that are no numbers count as nothing."""
+    c = value(expr)
+    return F.when(F.typeof(c).rlike("^(tinyint|smallint|int|bigint|float|double|decimal)"), c.try_cast("double"))
+
+
+def project(df: DataFrame, spec: dict) -> DataFrame:
+    """Only the named fields (_id, too, unless it is 0), or all but those that are 0."""
+    if all(v in (0, False) for v in spec.values()):
+        return df.drop(*spec)
+    kept = {"_id": 1, **spec} if "_id" in df.columns else spec
+    return df.select(*((F.col(k) if v in (1, True) else value(v)).alias(k) for k, v in kept.items() if v not in (0, False)))
+
+
+def unwind(df: DataFrame, spec: str | dict) -> DataFrame:
+    """A row for each element; missing and empty lists give none, or one with a null where they are to be kept."""
+    spec = {"path": spec} if isinstance(spec, str) else spec
+    field, index = spec["path"][1:], spec.get("includeArrayIndex")
+    rows = (F.posexplode_outer if spec.get("preserveNullAndEmptyArrays") else F.posexplode)(field)
+    out = df.select("*", rows.alias("_at", "_element")).withColumn(field, F.col("_element")).drop("_element")
+    return out.withColumn(index, F.col("_at").cast("long")).drop("_at") if index else out.drop("_at")
+
+
+AGGREGATES = {"$sum": lambda v: F.coalesce(F.sum(number(v)), F.lit(0.0)), "$avg": lambda v: F.avg(value(v)), "$min": lambda v: F.min(value(v)), "$max": lambda v: F.max(value(v)), "$count": lambda v: F.count(F.lit(1))}
 
 
 def run(df: DataFrame, stages: list[dict]) -> DataFrame:
@@ -47,7 +70,7 @@ def run(df: DataFrame, stages: list[dict]) -> DataFrame:
         if name == "$match":
             df = df.where(match(spec))
         elif name == "$project":
-            df = df.select(*((F.col(k) if v in (1, True) else value(v)).alias(k) for k, v in spec.items() if v not in (0, False)))
+            df = project(df, spec)
         elif name == "$group":
             aggs = [AGGREGATES[op](arg).alias(k) for k, a in spec.items() if k != "_id" for op, arg in a.items()]
             df = df.groupBy(value(spec["_id"]).alias("_id")).agg(*aggs)
@@ -58,8 +81,7 @@ def run(df: DataFrame, stages: list[dict]) -> DataFrame:
         elif name == "$skip":
             df = df.offset(spec)
         elif name == "$unwind":
-            field = spec[1:]
-            df = df.withColumn(field, F.explode(field))
+            df = unwind(df, spec)
         elif name == "$count":
             df = df.agg(F.count(F.lit(1)).alias(spec))
         else:

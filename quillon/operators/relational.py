@@ -17,8 +17,8 @@ def distinct_on(df: DataFrame, keys: list[str], order: list[Column]) -> DataFram
 
 
 def with_ties(df: DataFrame, by: str, n: int) -> DataFrame:
-    """FETCH FIRST n ROWS WITH TIES, in descending order: the n-th value by a top-n, then all rows that reach it."""
-    edge = df.select(by).orderBy(F.col(by).desc_nulls_last()).limit(n).agg(F.min(by).alias("_edge"), F.count("*").alias("_n"))
+    """FETCH FIRST n ROWS WITH TIES, in descending order, nulls last: the n-th value by a top-n, then all rows that reach it (all rows if that is a null)."""
+    edge = df.select(by).orderBy(F.col(by).desc_nulls_last()).limit(n).agg(F.min(by).alias("_edge"), F.count(by).alias("_n"))
     return df.join(F.broadcast(edge), (F.col(by) >= F.col("_edge")) | (F.col("_n") < n)).drop("_edge", "_n")
 
 

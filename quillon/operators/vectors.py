@@ -20,9 +20,9 @@ def _dot(a: Column, b: Column) -> Column:
 
 
 def similarity(v: Column, q: Column, kind: str) -> Column:
-    """The score that a search gives: (1 + cos) / 2, 1 / (1 + d²) or (1 + dot) / 2."""
+    """The score that a search gives: (1 + cos) / 2 (1 / 2 for a zero vector), 1 / (1 + d²) or (1 + dot) / 2."""
     if kind == "cosine":
-        return (1 + _dot(v, q) / F.sqrt(_dot(v, v) * _dot(q, q))) / 2
+        return (1 + F.coalesce(F.try_divide(_dot(v, q), F.sqrt(_dot(v, v) * _dot(q, q))), F.lit(0.0))) / 2
     if kind == "l2":
         return 1 / (1 + F.aggregate(F.zip_with(v, q, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
     return (1 + _dot(v, q)) / 2

@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 from quillon.operators import merge, pipeline
 from quillon.plans.registry import query, sql, table
 
-MONEY = "cast(sum(cast({} as decimal(18,4))) as double)"
-
 sql("date_trunc_counts", "SELECT date_trunc('day', ts) AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 sql("date_parts", """
     SELECT o_orderkey, cast(extract(year FROM o_orderdate) as bigint) AS y, cast(extract(quarter FROM o_orderdate) as bigint) AS q, cast(extract(month FROM o_orderdate) as bigint) AS m,
@@ -67,10 +65,10 @@ def summing_final(spark, sf_dir):
 
 
 @query("pipeline_match_group", """
-    SELECT event_type AS _id, count(*) AS n, sum(value) FILTER (WHERE FALSE) AS none, max(value) AS top FROM events WHERE value >= 10 AND event_type <> 'view' GROUP BY event_type""")
+    SELECT event_type AS _id, count(*) AS n, max(value) AS top, cast(sum(user_id) as double) AS users, cast(0 as double) AS words FROM events WHERE value >= 10 AND event_type <> 'view' GROUP BY event_type""")
 def pipeline_match_group(spark, sf_dir):
-    stages = [{"$match": {"value": {"$gte": 10}, "event_type": {"$ne": "view"}}}, {"$group": {"_id": "$event_type", "n": {"$count": {}}, "top": {"$max": "$value"}}}]
-    return pipeline.run(table(spark, sf_dir, "events"), stages).withColumn("none", F.lit(None).cast("double")).select("_id", "n", "none", "top")
+    stages = [{"$match": {"value": {"$gte": 10}, "event_type": {"$ne": "view"}}}, {"$group": {"_id": "$event_type", "n": {"$count": {}}, "top": {"$max": "$value"}, "users": {"$sum": "$user_id"}, "words": {"$sum": "$props"}}}]
+    return pipeline.run(table(spark, sf_dir, "events"), stages)
 
 
 @query("pipeline_unwind_project", """
@@ -79,7 +77,7 @@ def pipeline_unwind_project(spark, sf_dir):
     words = table(spark, sf_dir, "benchmark").select(F.split(F.lower("text"), " ").alias("words"))
     stages = [
         {"$unwind": "$words"}, {"$match": {"words": {"$ne": ""}}}, {"$group": {"_id": "$words", "n": {"$count": {}}}},
-        {"$project": {"word": "$_id", "n": 1}}, {"$sort": {"n": -1, "word": 1}}, {"$limit": 25},
+        {"$project": {"_id": 0, "word": "$_id", "n": 1}}, {"$sort": {"n": -1, "word": 1}}, {"$limit": 25},
     ]
     return pipeline.run(words, stages)
 
@@ -89,3 +87,15 @@ def pipeline_unwind_project(spark, sf_dir):
 def pipeline_filters(spark, sf_dir):
     match = {"$or": [{"o_orderstatus": {"$in": ["F", "P"]}}, {"o_totalprice": {"$gt": 350000}}], "o_orderpriority": {"$not": {"$eq": "1-URGENT"}}, "o_orderkey": {"$nin": [1, 2, 3]}}
     return pipeline.run(table(spark, sf_dir, "orders"), [{"$match": match}, {"$project": {"o_orderkey": 1}}])
+
+
+@query("pipeline_unwind_index", """
+    SELECT item_id, w AS words, i - 1 AS at FROM (SELECT item_id, unnest(string_split(text, ' ')) AS w, generate_subscripts(string_split(text, ' '), 1) AS i FROM benchmark)""")
+def pipeline_unwind_index(spark, sf_dir):
+    words = table(spark, sf_dir, "benchmark").select("item_id", "text", F.split("text", " ").alias("words"))
+    return pipeline.run(words, [{"$project": {"text": 0}}, {"$unwind": {"path": "$words", "includeArrayIndex": "at", "preserveNullAndEmptyArrays": True}}])
+
+
+@query("pipeline_skip_count", "SELECT count(*) AS n FROM (SELECT o_orderkey FROM orders ORDER BY o_orderkey OFFSET 100)")
+def pipeline_skip_count(spark, sf_dir):
+    return pipeline.run(table(spark, sf_dir, "orders"), [{"$sort": {"o_orderkey": 1}}, {"$skip": 100}, {"$count": "n"}])

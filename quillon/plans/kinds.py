@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from quillon.plans import analytics, kv, relational, scalar, search, streams, windows  # noqa: F401
+from quillon.plans import analytics, dialects, kv, relational, scalar, search, streams, windows  # noqa: F401

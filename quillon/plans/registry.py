@@ -7,6 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quillon.functions import sqlfunctions
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +32,7 @@ def sql(name: str, text: str, oracle: str | None = None, same: bool = True) -> N
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         views(spark, sf_dir, text)
+        sqlfunctions.install(spark, text)
         return spark.sql(text)
 
     _QUERIES[name] = run

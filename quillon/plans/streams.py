@@ -59,6 +59,10 @@ def matview(spark, sf_dir):
 
 @query("stream_windowed_counts", "SELECT time_bucket(INTERVAL 6 HOUR, ts, timestamp '2024-01-01') AS w, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def windowed(spark, sf_dir):
-    """Event-time windows under a watermark; the sink holds closed windows, and the rest once input ends."""
-    e = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    return e.groupBy(F.window("ts", "6 hours").alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").cast("timestamp_ntz").alias("w"), "event_type", "n")
+    """Event-time windows of a stream of files, counted with state under a watermark; each batch replaces the sink's table."""
+    e = table(spark, sf_dir, "events")
+    at = topics.blocks(e, 3)
+    source = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 2).option("pathGlobFilter", "*.parquet").parquet(at)
+    timed = source.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "60 days")  # files are not in the order of time
+    counts = timed.groupBy(F.window("ts", "6 hours").alias("w"), "event_type").agg(F.count("*").alias("n"))
+    return topics.drained(counts.select(F.col("w.start").cast("timestamp_ntz").alias("w"), "event_type", "n"), ["w", "event_type"])

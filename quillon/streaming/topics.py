@@ -54,3 +54,21 @@ def materialize(source: DataFrame, view: Callable[[DataFrame], DataFrame], at: s
 
     stream = source.writeStream.foreachBatch(block).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start()
     stream.awaitTermination()
+
+
+def drained(updates: DataFrame, keys: list[str]) -> DataFrame:
+    """What a stateful stream has said last of each key when its input ends. Each batch's updates are a folder of their own."""
+    at = shared_dir(updates.sparkSession)
+
+    def sink(df: DataFrame, batch: int) -> None:
+        df.write.mode("overwrite").parquet(f"{at}/rows/batch={batch}")
+
+    stream = updates.writeStream.outputMode("update").foreachBatch(sink).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start()
+    stream.awaitTermination()
+    said = updates.sparkSession.read.schema(f"{_schema(updates)}, batch long").parquet(f"{at}/rows")
+    rest = [c for c in updates.columns if c not in keys]
+    return said.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("r")).select(*keys, "r.*")
+
+
+def _schema(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
