@@ -359,8 +359,9 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key", "n")).alias("x")
     kept = common.stored(rows.join(judged, "key").groupBy("class_id").agg(first).select(F.col("x.key").alias("_key"), F.col("x.n").alias("_n")))
     keyed = docs.withColumn("_key", key)
-    out = keyed.join(kept.where("_n = 1"), "_key", "left_semi")
+    # one plan for all sizes: texts are dealt by key, whether or not the kept keys would fit a broadcast
+    out = keyed.join(kept.where("_n = 1").hint("shuffle_hash"), "_key", "left_semi")
     repeated = kept.where("_n > 1").select("_key")
     if not repeated.isEmpty():
-        out = out.union(keyed.join(repeated, "_key", "left_semi").select(out.columns).dropDuplicates(["_key"]))
+        out = out.union(keyed.join(repeated.hint("shuffle_hash"), "_key", "left_semi").select(out.columns).dropDuplicates(["_key"]))
     return out.select(docs.columns)
