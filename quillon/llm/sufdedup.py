@@ -42,6 +42,8 @@ from quillon.llm.suffixes import equal_windows
 MATCH, SIDE = anchors.MATCH, anchors.SIDE
 #: Bytes of text in a chunk, about (a longer document is a chunk of its own), and documents at most.
 CHUNK_BYTES, CHUNK_DOCS = 4_000_000, 60_000
+#: A bucket of units is held by one task: it gets the units of about so many chunks, however large the corpus is.
+CHUNKS_PER_BUCKET = 4
 #: Rows of a context group that one task sorts, and bytes of rows whose groups are sorted together, about.
 GROUP = 256
 SORTED_BYTES = 3_000_000
@@ -284,7 +286,7 @@ def _solved(docs: DataFrame) -> DataFrame:
     """A row for each chunk: uri, dropped slots, and masks of the rest."""
     spark = docs.sparkSession
     chunks = stage(docs, common.shared_dir(spark))
-    met = _meet(chunks, 4 * common.shuffle_parts(spark))
+    met = _meet(chunks, max(4 * common.shuffle_parts(spark), chunks.count() // CHUNKS_PER_BUCKET))
     rows = _contexts(chunks, met)
     large = rows.groupBy("key").count().where(F.col("count") > GROUP).select("key")
     masks = common.stored(_by_suffixes(rows.join(large, "key", "left_anti")).union(_by_windows(rows.join(large, "key", "left_semi"))))
