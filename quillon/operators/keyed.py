@@ -7,19 +7,12 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
-
-#: Ranges of scores by which ranks are counted; a range is ranked within, so no task sorts all members.
-RANGES = 64
 
+from quillon.operators import ranking
 
 def zrank(zset: DataFrame) -> DataFrame:
-    """Members with their place (from 0) by score, then member; ranges of scores are ranked side by side."""
-    edges = zset.agg(F.percentile_approx(F.col("score").cast("double"), [i / RANGES for i in range(1, RANGES)]).alias("e"))
-    ranged = zset.crossJoin(F.broadcast(edges)).withColumn("_r", F.size(F.filter(F.coalesce("e", F.array().cast("array<double>")), lambda x: x < F.col("score").cast("double")))).drop("e")
-    before = ranged.groupBy("_r").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    own = F.row_number().over(Window.partitionBy("_r").orderBy("score", "member")) - 1
-    return ranged.withColumn("_own", own).join(F.broadcast(before.select("_r", "_before")), "_r").withColumn("zrank", F.col("_own") + F.col("_before")).drop("_r", "_own", "_before")
+    """Members with their place (from 0) by score, then member; equal scores are split by member, so no task sorts them all."""
+    return ranking.numbered(zset, ["score", "member"], "zrank")
 
 
 def _all(zsets: list[tuple[DataFrame, float]]) -> DataFrame:

@@ -10,6 +10,9 @@ from pyspark.sql.window import Window
 
 from quillon.sources.shared import stored
 
+#: Rounds of a recursion after which what was found is written as one table, so that plans stay short.
+COMPACT = 8
+
 
 def distinct_on(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """DISTINCT ON: the first row of each key in the given order. Spark turns `= 1` into a group limit before the shuffle."""
@@ -23,14 +26,14 @@ def with_ties(df: DataFrame, by: str, n: int) -> DataFrame:
 
 
 def recursive_union(base: DataFrame, step: Callable[[DataFrame], DataFrame], rounds: int = 100_000) -> DataFrame:
-    """WITH RECURSIVE ... UNION: rounds on the new rows alone, until none is new. Each round is a stored table."""
+    """WITH RECURSIVE ... UNION: rounds on the new rows alone, until none is new. Each round is a stored table, put together every COMPACT rounds."""
     seen = stored(base.distinct())
     new = seen
-    for _ in range(rounds):
+    for i in range(1, rounds + 1):
         new = stored(step(new).distinct().exceptAll(seen))
         if new.isEmpty():
             return seen
-        seen = seen.unionAll(new)
+        seen = seen.unionAll(new) if i % COMPACT else stored(seen.unionAll(new))
     raise RuntimeError(f"the recursion did not end in {rounds} rounds")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillon.operators import keyed
+from quillon.operators import keyed, ranking
 from quillon.plans.registry import query, sql, table
 
 SCORES = "SELECT user_id AS member, sum(cast(value as decimal(18,6))) AS score FROM events WHERE event_type = '{}' GROUP BY user_id"
@@ -70,6 +70,12 @@ def bitmap(spark, sf_dir):
 GEO = "(SELECT s_suppkey AS id, (s_suppkey * 37 % 360) - 180 + 0.5 AS lon, (s_suppkey * 17 % 170) - 85 + 0.25 AS lat FROM supplier)"
 _DIST = "round(2 * 6372797.560856 * asin(sqrt(pow(sin((radians({b}.lat) - radians({a}.lat)) / 2), 2) + cos(radians({a}.lat)) * cos(radians({b}.lat)) * pow(sin((radians({b}.lon) - radians({a}.lon)) / 2), 2))), 2)"
 sql("kv_geo_search", f"SELECT b.id, {_DIST.format(a='a', b='b')} AS dist FROM {GEO} a JOIN {GEO} b ON a.id = 1 AND b.id <> 1 WHERE {_DIST.format(a='a', b='b')} <= 4000000")
-sql("kv_sort_by_get", "SELECT s_suppkey, n_name, cast(row_number() OVER (ORDER BY s_acctbal DESC, s_suppkey) as bigint) AS pos FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey")
 sql("kv_stream_range", "SELECT event_id, user_id FROM events WHERE ts >= timestamp '2024-01-05' AND ts < timestamp '2024-01-06'")
 sql("kv_list_range", "SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) x WHERE rn BETWEEN 2 AND 4")
+
+
+@query("kv_sort_by_get", "SELECT s_suppkey, n_name, cast(row_number() OVER (ORDER BY s_acctbal DESC, s_suppkey) as bigint) AS pos FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey")
+def sort_by_get(spark, sf_dir):
+    ranked = ranking.numbered(table(spark, sf_dir, "supplier"), [F.desc("s_acctbal"), "s_suppkey"], "pos")
+    named = ranked.join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"), "left")
+    return named.select("s_suppkey", "n_name", (F.col("pos") + 1).alias("pos"))

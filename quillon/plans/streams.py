@@ -44,7 +44,9 @@ def committed(spark, sf_dir):
 
 @query("log_consumer_lag", f"SELECT part, count(*) - 200 AS lag FROM {_LOG} GROUP BY part")
 def lag(spark, sf_dir):
-    return log(spark, sf_dir).groupBy("part").agg((F.max("off") + 1 - 200).alias("lag"))
+    """The next offset of a partition is its number of records, so nothing is numbered."""
+    ends = table(spark, sf_dir, "events").groupBy((F.col("user_id") % 4).alias("part")).agg(F.count("*").alias("n"))
+    return ends.select("part", (F.col("n") - 200).alias("lag"))
 
 
 @query("matview_incremental", "SELECT event_type, count(*) AS n, cast(sum(cast(value as decimal(18,6))) as double) AS total FROM events GROUP BY event_type")

@@ -6,14 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from quillon.operators import ranking
 from quillon.sources.shared import shared_dir
 
 
 def offsets(df: DataFrame, part: str, order: str) -> DataFrame:
-    """Give rows their offsets within their partition, from 0."""
-    return df.withColumn("off", (F.row_number().over(Window.partitionBy(part).orderBy(order)) - 1).cast("long"))
+    """Give rows their offsets within their partition, from 0. A partition of any size is numbered by ranges, and the numbered topic is stored once."""
+    return ranking.numbered(df, [order], "off", [part])
 
 
 def fetch(log: DataFrame, start: int, count: int) -> DataFrame:
@@ -35,7 +35,7 @@ def retain(log: DataFrame, keep: str) -> DataFrame:
 def read_committed(log: DataFrame, open_: DataFrame, aborted: Column) -> DataFrame:
     """Records below the first one of an open transaction (the last stable offset) that were not aborted."""
     lso = open_.groupBy("part").agg(F.min("off").alias("_lso"))
-    joined = log.join(F.broadcast(lso), "part", "left")  # a row for each partition of the topic
+    joined = log.join(lso, "part", "left")  # broadcast by its measured size, if at all
     return joined.where(~aborted & (F.col("_lso").isNull() | (F.col("off") < F.col("_lso")))).drop("_lso")
 
 
