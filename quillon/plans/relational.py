@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quillon.operators import ranking
 from quillon.operators import relational as op
 from quillon.plans.registry import query, sql, table
 
@@ -59,9 +60,15 @@ sql("agg_filter_having", """
     SELECT o_custkey, count(*) AS n, count(*) FILTER (WHERE o_orderstatus = 'F') AS n_f, count(DISTINCT o_orderpriority) AS n_p,
            min(o_orderdate) AS first_at, max(o_orderdate) AS last_at FROM orders GROUP BY o_custkey HAVING count(*) > 5""")
 sql("agg_empty_group", "SELECT count(*) AS n, max(o_totalprice) AS m FROM orders WHERE o_totalprice < 0")
-sql("agg_ordered_set", """
+
+
+@query("agg_ordered_set", """
     SELECT l_returnflag, percentile_cont(0.5) WITHIN GROUP (ORDER BY l_quantity) AS p50, percentile_disc(0.9) WITHIN GROUP (ORDER BY l_quantity) AS p90
     FROM lineitem GROUP BY l_returnflag""")
+def ordered_set(spark, sf_dir):
+    return ranking.percentiles(table(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_quantity", {"p50": ("cont", 0.5), "p90": ("disc", 0.9)})
+
+
 sql("agg_mode", """
     SELECT o_orderstatus, o_orderpriority AS mode_p FROM (SELECT o_orderstatus, o_orderpriority,
         row_number() OVER (PARTITION BY o_orderstatus ORDER BY count(*) DESC, o_orderpriority) AS rn FROM orders GROUP BY o_orderstatus, o_orderpriority) x WHERE rn = 1""")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillon.operators import analysis, search, vectors
+from quillon.operators import analysis, ranking, search, vectors
 from quillon.plans.registry import query, sql, table
 from quillon.sources.shared import stored
 
@@ -70,7 +70,17 @@ sql("search_top_hits", "SELECT lang, doc_id FROM (SELECT lang, doc_id, row_numbe
 sql("search_collapse", "SELECT source, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS rn FROM documents) x WHERE rn = 1")
 sql("search_after", "SELECT doc_id, n_chars FROM documents WHERE n_chars < 2000 OR (n_chars = 2000 AND doc_id > 10) ORDER BY n_chars DESC, doc_id LIMIT 15")
 sql("search_composite_agg", "SELECT lang, source, count(*) AS n FROM documents WHERE lang > 'en' GROUP BY lang, source ORDER BY lang, source LIMIT 40")
-sql("search_cardinality_percentiles", "SELECT event_type, count(DISTINCT user_id) AS card, percentile_cont(0.25) WITHIN GROUP (ORDER BY value) AS p25, percentile_cont(0.99) WITHIN GROUP (ORDER BY value) AS p99 FROM events GROUP BY event_type")
+
+
+@query("search_cardinality_percentiles", "SELECT event_type, count(DISTINCT user_id) AS card, percentile_cont(0.25) WITHIN GROUP (ORDER BY value) AS p25, percentile_cont(0.99) WITHIN GROUP (ORDER BY value) AS p99 FROM events GROUP BY event_type")
+def cardinality_percentiles(spark, sf_dir):
+    """Distinct counts and exact percentiles, both counted before they are shuffled."""
+    e = table(spark, sf_dir, "events")
+    shares = ranking.percentiles(e, ["event_type"], "value", {"p25": ("cont", 0.25), "p99": ("cont", 0.99)})
+    named = e.groupBy("event_type").agg(F.count_distinct("user_id").alias("card")).withColumnRenamed("event_type", "_type")
+    return shares.join(named, F.col("event_type").eqNullSafe(F.col("_type"))).select("event_type", "card", "p25", "p99")
+
+
 sql("search_missing_exists", "SELECT count(*) AS n, count(toxic) AS with_label, count(*) - count(toxic) AS missing FROM documents LEFT JOIN labels USING (doc_id)")
 _EACH = """
     SELECT query_id, vec_id, score FROM (SELECT q.vec_id AS query_id, e.vec_id, round({score}, 6) AS score
