@@ -7,6 +7,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillon.operators import ranking
+
+#: A $skip and the $limit behind it are taken together, as the first rows, up to this number.
+TOP_ROWS = 100_000
+
 
 def condition(column: Column, test: object) -> Column:
     """A field's test; a missing field is null, which $ne, $nin and $not match."""
@@ -65,7 +70,9 @@ AGGREGATES = {"$sum": lambda v: F.coalesce(F.sum(number(v)), F.lit(0.0)), "$avg"
 
 def run(df: DataFrame, stages: list[dict]) -> DataFrame:
     """$match, $project, $group, $sort, $limit, $skip, $unwind and $count, in order."""
-    for stage in stages:
+    skip = 0  # rows that only a count has to leave out: any will do, so none has to be put in order
+    following = [next(iter(s.items())) for s in [*stages[1:], {None: None}]]
+    for stage, (then, limit) in zip(stages, following, strict=False):
         ((name, spec),) = stage.items()
         if name == "$match":
             df = df.where(match(spec))
@@ -79,11 +86,16 @@ def run(df: DataFrame, stages: list[dict]) -> DataFrame:
         elif name == "$limit":
             df = df.limit(spec)
         elif name == "$skip":
-            df = df.offset(spec)
+            if then == "$count":
+                skip = spec
+            elif then == "$limit" and spec + limit <= TOP_ROWS:
+                df = df.offset(spec)  # with the limit a top-k
+            else:
+                df = ranking.skipped(df, spec)
         elif name == "$unwind":
             df = unwind(df, spec)
         elif name == "$count":
-            df = df.agg(F.count(F.lit(1)).alias(spec))
+            df, skip = df.agg(F.greatest(F.count(F.lit(1)) - skip, F.lit(0)).alias(spec)), 0
         else:
             raise ValueError(f"no stage {name}")
     return df

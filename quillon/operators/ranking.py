@@ -32,6 +32,20 @@ def numbered(df: DataFrame, order: list[Column | str], name: str, within: list[s
     return whole.join(first, same).withColumn(name, F.col(name) - F.col("_first")).select(*df.columns, name)
 
 
+def skipped(df: DataFrame, count: int) -> DataFrame:
+    """All rows but the first, in the table's order, which is kept.
+
+    The rows are stored once with their places, so that no task holds or passes on more than a partition.
+    """
+    # the identifier grows with the partition's number and the place in it, as do the ranges of a sorted table
+    placed = stored(df.withColumn("_at", F.monotonically_increasing_id()))
+    held = placed.groupBy(F.shiftright("_at", 33).alias("_range")).agg(F.count("*").alias("_n"))
+    before = held.select("_range", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    # one row a partition
+    whole = placed.withColumn("_range", F.shiftright("_at", 33)).join(F.broadcast(before), "_range")
+    return whole.where(F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1) >= count).orderBy("_at").select(*df.columns)
+
+
 def percentiles(df: DataFrame, groups: list[str], value: str, wanted: dict[str, tuple[str, float]]) -> DataFrame:
     """Exact percentiles of each group: name -> ("cont" or "disc", share from 0 to 1). Nulls are left out; a group of nulls alone gives null.
 
