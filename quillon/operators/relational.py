@@ -13,6 +13,22 @@ from quillon.sources.shared import stored
 #: Rounds of a recursion after which what was found is written as one table, so that plans stay short.
 COMPACT = 8
 
+#: Bytes of files for each partition of spread(); a table of fewer than SPREAD_FROM is left to Spark.
+SPREAD_BYTES = 2 << 20
+SPREAD_FROM = 16 << 20
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Deal rows out by a key to a number of partitions that grows with the files read.
+
+    Spark's own number is fixed, and small partitions are put together up to an advised size, which sorts and
+    hash tables of a whole row for each row exceed in memory many times.
+    """
+    size = int(df._jdf.queryExecution().analyzed().collectLeaves().apply(0).stats().sizeInBytes())
+    if size < SPREAD_FROM:
+        return df
+    return df.repartition(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // SPREAD_BYTES)), key)
+
 
 def distinct_on(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """DISTINCT ON: the first row of each key in the given order. Spark turns `= 1` into a group limit before the shuffle."""

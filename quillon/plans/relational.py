@@ -19,9 +19,18 @@ sql("pricing_summary", f"""
     SELECT l_returnflag, l_linestatus, {money('l_quantity')} AS sum_qty, {money('l_extendedprice')} AS sum_base_price,
            {money('l_extendedprice * (1 - l_discount)')} AS sum_disc_price, count(*) AS count_order
     FROM lineitem WHERE l_shipdate <= timestamp '1998-09-02' GROUP BY l_returnflag, l_linestatus""")
-sql("brand_revenue", f"""
+
+@query("brand_revenue", f"""
     SELECT p_brand, {money('l_extendedprice * (1 - l_discount)')} AS revenue, count(DISTINCT o_orderkey) AS n_orders
     FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus = 'F' GROUP BY p_brand""")
+def brand_revenue(spark, sf_dir):
+    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", F.expr("cast(l_extendedprice * (1 - l_discount) as decimal(18,4))").alias("r"))
+    branded = items.join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", "p_brand", "r")
+    done = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'")
+    rows = op.spread(branded, "l_orderkey").join(done, F.col("l_orderkey") == F.col("o_orderkey"))
+    return rows.groupBy("p_brand").agg(F.sum("r").cast("double").alias("revenue"), F.countDistinct("o_orderkey").alias("n_orders"))
+
+
 sql("filter_predicates", """
     SELECT o_orderkey, o_totalprice FROM orders
     WHERE o_totalprice BETWEEN 1000 AND 200000 AND o_orderstatus IN ('F', 'O') AND o_orderpriority LIKE '1%' AND NOT (o_orderkey % 3 = 0) AND o_custkey IS NOT NULL""")
