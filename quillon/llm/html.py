@@ -61,6 +61,11 @@ MARKS = frozenset(
 # Those of them that mark running text, too.
 MARKS_OF_PROSE = frozenset("ad ads adv advert advertisement advertising sponsor sponsored promo promotion cookie cookies consent notice newsletter share sharing comment comments replies".split())
 _WORDS = re.compile("[a-z0-9]+")
+# Tags as most are written; HTMLParser takes the others, and those after which it may read text in another way.
+_START = re.compile(r"""<([a-zA-Z][a-zA-Z0-9]*)((?: [a-zA-Z][-a-zA-Z0-9]*="[^"<>&]*")*)>""")
+_ATTRIBUTE = re.compile(r""" ([^=]+)="([^"]*)\"""")
+_END = re.compile("</([a-zA-Z][a-zA-Z0-9]*)>")
+_OTHER_TEXT = frozenset("script style title textarea xmp plaintext iframe noembed noframes noscript".split())
 _HOST = re.compile(r"(?s)^.*?://([^/?#]*)")
 
 
@@ -78,13 +83,41 @@ class _Builder(HTMLParser):
         self.open = [self.root]
         self.at: dict[str, list[int]] = {}  # where in the open elements each tag stands
 
+    def updatepos(self, i, j):
+        return j  # lines are not counted
+
+    def parse_starttag(self, i):
+        m = _START.match(self.rawdata, i)
+        tag = m and m[1].lower()
+        if m is None or tag in _OTHER_TEXT:
+            return super().parse_starttag(i)
+        attrs = m[2]
+        self.handle_starttag(tag, [(k.lower(), v) for k, v in _ATTRIBUTE.findall(attrs)] if attrs else ())
+        return m.end()
+
+    def parse_endtag(self, i):
+        m = _END.match(self.rawdata, i) if self.cdata_elem is None else None
+        if m is None:
+            return super().parse_endtag(i)
+        self.handle_endtag(m[1].lower())
+        return m.end()
+
     def _close(self, tags: tuple[str, ...], within: tuple[str, ...] = ()) -> None:
         """End the innermost open element of these tags, unless one of `within` was opened after it."""
-        last, bound = (max((self.at[t][-1] for t in names if self.at.get(t)), default=0) for names in (tags, within))
-        if last > bound:
-            for x in reversed(self.open[last:]):
-                self.at[x.tag].pop()
-            del self.open[last:]
+        at, last = self.at, 0
+        for t in tags:
+            places = at.get(t)
+            if places and places[-1] > last:
+                last = places[-1]
+        if not last:
+            return
+        for t in within:
+            places = at.get(t)
+            if places and places[-1] >= last:
+                return
+        for x in reversed(self.open[last:]):
+            at[x.tag].pop()
+        del self.open[last:]
 
     def handle_starttag(self, tag, attrs):
         if tag in ENDS_P:

@@ -374,6 +374,29 @@ def test_html_odd_pages(spark):
     assert html.extract(df.where("false")).count() == 0
 
 
+def test_html_tags_read_at_once(monkeypatch):
+    """Tags as most are written pass by HTMLParser's own reading, and all of a page gives the same elements as with it."""
+    from html.parser import HTMLParser
+
+    import pyarrow.parquet as pq
+
+    def flat(node):
+        return [(x.tag, x.attrs, [c if isinstance(c, str) else c.tag for c in x.children]) for x in html._elements(node)]
+
+    odd = ["", "<", "<p", "</p", "</>", "</1>", "<p>a<P CLASS=x>b", "<a href=x/>y</a >", "<br/></br>", "<a  b='1'>", '<a b="1"c="2">z', '<a b="&lt;&quot;" c>', '<a b="x y=&quot;" D-e="">t</A>', "<td>1<td>2</table>", '<li a="b=c" a="d">1<li>2</ul>x']
+    odd += ["<script>if (a<b) '</p>'</script>c", "<style>p</style><title>a<b>c</title>d", "<textarea><p></textarea>e", '<script type="x">a</SCRIPT >f<p>', "<!-- <p> --><!x><?y>g", '<x:y z="1">h</x:y>', '<p a="<b>">i</p>', '<p a="1\n2">j<form><div id="k">l</form>', "<a\x00b>m"]
+    odd += [r["html"] or "" for r in pq.read_table(f"{SF}/pages.parquet").to_pylist()]
+    got = [flat(html.parse(h)) for h in odd]
+    asked = []
+    monkeypatch.setattr(HTMLParser, "parse_starttag", lambda self, i, f=HTMLParser.parse_starttag: (asked.append("start"), f(self, i))[1])
+    monkeypatch.setattr(HTMLParser, "parse_endtag", lambda self, i, f=HTMLParser.parse_endtag: (asked.append("end"), f(self, i))[1])
+    html.parse('<html><body class="a b"><p>1</p><A HREF="x?y=1">2</A><td>3</td></body></html>')
+    assert not asked
+    for name in ("parse_starttag", "parse_endtag"):
+        monkeypatch.delattr(html._Builder, name)
+    assert [flat(html.parse(h)) for h in odd] == got
+
+
 def test_html_counts_by_brute_force(spark):
     """The subtrees of given pages that recur, counted in plain Python, are those that extract() deletes."""
     pages = rows(spark.read.parquet(f"{SF}/pages.parquet"))
